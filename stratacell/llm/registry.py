@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import prepare
-from . import byte_bpe, decontaminate, ngram_join, token_files
+from . import byte_bpe, decontaminate, ngram_join, quality_rules, secrets, token_files
 from .scratch import Scratch
 
 
@@ -25,6 +25,15 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(_table(spark, sf_dir, "documents"))
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    return quality_rules.apply(documents, quality_rules.fit(documents, _table(spark, sf_dir, "labels")))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -37,7 +46,7 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op3_byte_bpe, op9_token_files, op10_ngram_jaccard)}
+    return {f.__name__: f for f in (op1_decontamination, op3_byte_bpe, op4_secret_scan, op7_quality_rules, op9_token_files, op10_ngram_jaccard)}
 
 
 def oracle_sql() -> dict[str, str]:
