@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import prepare
-from . import byte_bpe, decontaminate, ngram_join, quality_rules, secrets, token_files
+from . import byte_bpe, byte_cnn, decontaminate, lm_score, ngram_join, quality_rules, samples, secrets, substring_dedup, token_files, toxicity
 from .scratch import Scratch
 
 
@@ -19,6 +20,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("items")
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -29,11 +34,30 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(_table(spark, sf_dir, "documents"))
 
 
+def _classified(scored: DataFrame, held_out: tuple[int, int]) -> DataFrame:
+    return scored.select("doc_id", F.coalesce(samples.remainder("doc_id", held_out[0]) == held_out[1], F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    return _classified(byte_cnn.score(documents, byte_cnn.fit(documents, _table(spark, sf_dir, "labels"))), byte_cnn.HELD_OUT)
+
+
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    return lm_score.score(documents, *lm_score.fit(documents, _table(spark, sf_dir, "labels")))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents")
     return quality_rules.apply(documents, quality_rules.fit(documents, _table(spark, sf_dir, "labels")))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    return _classified(toxicity.score(documents, toxicity.fit(documents, _table(spark, sf_dir, "labels"))), toxicity.HELD_OUT)
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -46,7 +70,19 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op3_byte_bpe, op4_secret_scan, op7_quality_rules, op9_token_files, op10_ngram_jaccard)}
+    own = (
+        op1_decontamination,
+        op2_substring_dedup,
+        op3_byte_bpe,
+        op4_secret_scan,
+        op5_quality_classifier,
+        op6_lm_score,
+        op7_quality_rules,
+        op8_toxicity,
+        op9_token_files,
+        op10_ngram_jaccard,
+    )
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
