@@ -14,8 +14,10 @@ symbols uint16 if all fit, else uint32.
 from __future__ import annotations
 
 import hashlib
+import unicodedata
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -34,7 +36,8 @@ END_ID = 1
 FILE_TOKENS = 1 << 19
 #: Most rounds, most rules of a round, and how often a pair must occur to be replaced.
 ROUNDS, ROUND_RULES, LEAST_COUNT = 4, 2048, 24
-CACHE_ENTRIES = 400_000
+#: Most remembered words of a Python worker.
+CACHE_ENTRIES = 300_000
 _BITS = 20
 
 
@@ -147,43 +150,52 @@ class TokenFile:
 class WordTokenizer:
     """The tokenizers library's ids, remembered by word.
 
-    The vocabulary's pre-tokens never cross white space and its normaliser acts on each side of it
-    alone, so the ids of a text are those of its words in a row.
+    The definition normalises (NFC, lower case) and splits into pre-tokens that never cross white space,
+    so a text's ids are those of its normalised words in a row. Words not yet known are encoded many in
+    one call, told apart by a mark that is a pre-token of one id. Texts that this could read otherwise
+    (special tokens, rare characters) go through the library whole.
     """
 
-    _words = regex.compile(r"[^\x20\x09-\x0D]+").findall
+    _mark = "\x01"
 
     def __init__(self, definition: str):
         from tokenizers import Tokenizer
 
-        self.model = Tokenizer.from_str(definition)
-        self.terminals = self.model.get_vocab_size(with_added_tokens=True)
-        self.cache: dict[str, list[int]] = {}
-
-    def encode(self, text: str) -> list[int]:
-        words, cache, out = self._words(text), self.cache, []
-        missing = [w for w in dict.fromkeys(words) if w not in cache]
-        if missing:
-            if len(cache) + len(missing) > CACHE_ENTRIES:
-                cache.clear()
-                missing = list(dict.fromkeys(words))
-            for i in range(0, len(missing), 500):
-                self._remember(missing[i : i + 500])
+        self.library = Tokenizer.from_str(definition)
+        self.terminals = self.library.get_vocab_size(with_added_tokens=True)
+        (self.mark_id,) = self._ids(self._mark)
+        self.known: dict[str, list[int]] = {}
+
+    def _ids(self, text: str) -> list[int]:
+        return self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        split = [None if _ODD(t) else _normal(t).split() for t in texts]
+        words = {w for own in split if own for w in own}
+        missing = words - self.known.keys()
+        if len(self.known) + len(missing) > CACHE_ENTRIES:
+            self.known.clear()
+            missing = words
+        missing = list(missing)
+        for i in range(0, len(missing), 1000):
+            self._learn(missing[i : i + 1000])
+        get = self.known.__getitem__
+        return [self._ids(t) if own is None else list(chain.from_iterable(map(get, own))) for t, own in zip(texts, split)]
+
+    def _learn(self, words: list[str]) -> None:
+        ids, begin = self._ids(f" {self._mark} ".join([*words, ""])), 0
         for w in words:
-            out += cache[w]
-        return out
+            end = ids.index(self.mark_id, begin)
+            self.known[w] = ids[begin:end]
+            begin = end + 1
+
+
+#: Special tokens, and characters outside the ranges that tests compare with the library one by one.
+_ODD = regex.compile(r"<\||[^\x00\x02-\x1B\x20-\u024F\u0370-\u03A2\u03A4-\u03FF\u0400-\u04FF\u2010-\u2027\u20A0-\u20BF\u3040-\u3096\u30A0-\u30FF\u4E00-\u9FA5\uAC00-\uD7A3]").search
 
 
-    def _remember(self, words: list[str]) -> None:
-        """Encodes the words in one call and tells them apart by the tokens' places in the text."""
-        encoded = self.model.encode("\n".join(words), add_special_tokens=False)
-        until = np.cumsum([len(w) + 1 for w in words])
-        places = np.fromiter((a for a, _ in encoded.offsets), np.int64, len(encoded.ids))
-        bounds = np.searchsorted(places, until).tolist()
-        ids, begin = encoded.ids, 0
-        for w, end in zip(words, bounds):
-            self.cache[w] = ids[begin:end]
-            begin = end
+def _normal(text: str) -> str:
+    return unicodedata.normalize("NFC", text).lower()
 
 
 _made: dict[str, WordTokenizer] = {}
@@ -220,8 +232,8 @@ def token_files(documents: DataFrame, path: str, scratch: Scratch, file_tokens:
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 own = batch.slice(i, 256)
-                for key, text in zip(tk.take(own, "doc_id").to_pylist(), tk.take(own, "text").to_pylist()):
-                    ids = coder.encode(text or "")
+                texts = [t or "" for t in tk.take(own, "text").to_pylist()]
+                for key, ids in zip(tk.take(own, "doc_id").to_pylist(), coder.encode(texts)):
                     ids.append(END_ID)
                     if keys and held + len(ids) > file_tokens:
                         yield close()

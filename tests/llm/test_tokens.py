@@ -73,8 +73,15 @@ def test_word_tokenizer_equals_library():
     own, library = token_files.WordTokenizer(open(WORDS).read()), Tokenizer.from_file(WORDS)
     texts = [noise(s, 80, "ab aaé́ \x1c\x85 日本1２ \n\t's$#ΩΣσIİ😀<|endoftext|>") for s in range(300)]
     texts += ["x <|endoftext|>y <|startoftext|>́ z", "", "ΑΣ ΑΣ.", "é ́e"]
-    for t in texts:
-        assert own.encode(t) == library.encode(t, add_special_tokens=False).ids
+    assert own.encode(texts) == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_every_remembered_character_reads_as_in_the_library():
+    own, library = token_files.WordTokenizer(open(WORDS).read()), Tokenizer.from_file(WORDS)
+    plain = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and not token_files._ODD(chr(c))]
+    texts = [f"a{c}b{c} {c}1" for c in plain]
+    assert len(plain) > 30_000
+    assert own.encode(texts) == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
 
 
 def test_file_round_trip_and_random_access():
