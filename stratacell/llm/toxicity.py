@@ -29,8 +29,8 @@ N, SPAN, DECAY = 4, 6, 0.7
 #: Starts that one window sums up.
 WINDOW = 6
 LANDMARKS, CONTRAST = 48, 16
-#: The machine is fitted on at most so many labelled documents of each class.
-DOCS_PER_CLASS, ROUNDS = 1500, 3
+#: The machine is fitted on at most so many labelled documents of each class, and bytes of them.
+DOCS_PER_CLASS, BYTES, ROUNDS = 2000, 16 << 20, 3
 HELD_OUT = (3, 1)
 THRESHOLD = 0.7
 
@@ -104,6 +104,16 @@ class Letters:
                 c = (c << _BITS) | code[d : n + d]
             yield c, inside[offsets[-1]], weight
 
+    def shapes_at(self, place: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
+        """As ``subsequences``, at some starts only."""
+        last = len(self.code) - 1
+        for offsets, weight in OFFSETS:
+            c = self.code[place]
+            for d in offsets:
+                c = (c << _BITS) | self.code[np.minimum(place + d, last)]
+            end = place + offsets[-1]
+            yield c, (end <= last) & (self.unit[np.minimum(end, last)] == self.unit[place]), weight
+
     def window_sums(self, at_start: np.ndarray) -> np.ndarray:
         """Sum over WINDOW starts from each start on, within its unit."""
         total = np.append(0, np.cumsum(at_start, dtype=np.float64))
@@ -170,23 +180,34 @@ def choose_landmarks(toxic: list[str], clean: list[str]) -> tuple[list[str], lis
     that shares four letters in a row with one already taken, or stands only where one of those does.
     """
     toxic = without_copies(toxic)
-    t, c = Letters(toxic), Letters(clean)
-    found: list[tuple[int, int, str, np.ndarray]] = []
-    least = max(3, len(toxic) // 60)
-    contrast: list[str] = []
-    for n in (7, 6, 5, 4):
-        code, text = _runs(t, n)
+    letters = Letters(toxic)
+    least = max(4, len(toxic) // 33)
+    sizes = (7, 6, 5, 4)
+    runs, held, seen = {}, {}, {}
+    for n in sizes:
+        code, text = _runs(letters, n)
         order = np.argsort(code, kind="stable")
-        text = text[order]
         values, hits = np.unique(code, return_counts=True)
         begin = np.cumsum(hits) - hits
-        other, counts = np.unique(_runs(c, n)[0], return_counts=True)
-        at = np.minimum(np.searchsorted(other, values), max(0, len(other) - 1))
-        seen = np.where(other[at] == values, counts[at], 0) if len(other) else np.zeros(len(values), np.int64)
-        good = np.flatnonzero((hits >= least) & (seen * 100 * len(toxic) <= hits * len(clean)))
-        found += [(int(hits[i]), n, _spell(int(values[i]), n), text[begin[i] : begin[i] + hits[i]]) for i in good]
-        if n == 6:
-            contrast = [_spell(int(v), 6) for v in other[np.argsort(-counts, kind="stable")][:CONTRAST]]
+        often = np.flatnonzero(hits >= least)
+        runs[n], seen[n] = values[often], np.zeros(len(often), np.int64)
+        held[n] = [text[order[begin[i] : begin[i] + hits[i]]] for i in often]
+    contrast: list[str] = []
+    for i in range(0, len(clean), 100):
+        own = Letters(clean[i : i + 100])
+        for n in sizes:
+            code = _runs(own, n)[0]
+            if n == 6 and not contrast:
+                values, counts = np.unique(code, return_counts=True)
+                contrast = [_spell(int(v), n) for v in values[np.argsort(-counts, kind="stable")][:CONTRAST]]
+            if len(runs[n]):
+                at = np.minimum(np.searchsorted(runs[n], code), len(runs[n]) - 1)
+                np.add.at(seen[n], at[runs[n][at] == code], 1)
+    found: list[tuple[int, int, str, np.ndarray]] = []
+    for n in sizes:
+        hits = np.array([len(x) for x in held[n]], np.int64)
+        good = np.flatnonzero(seen[n] * 100 * len(toxic) <= hits * len(clean))
+        found += [(int(hits[i]), n, _spell(int(runs[n][i]), n), held[n][i]) for i in good]
     chosen: list[str] = []
     reached: list[np.ndarray] = []
     taken: set[str] = set()
@@ -265,38 +286,45 @@ def train(texts: list[tuple[str, int]]) -> Machine:
         table[codes] = (matrix[1:] @ alpha).astype(np.float32)
         return table
 
-    letters = Letters(toxic + clean)
+    texts = toxic + clean
     y = np.append(np.ones(len(toxic)), np.zeros(len(clean)))
-    begin = np.flatnonzero(np.append(True, letters.text[1:] != letters.text[:-1]))
-    last = np.searchsorted(letters.unit, letters.unit, "right")
-    shapes = list(letters.subsequences())
     alpha = np.append(np.ones(len(bad)), np.zeros(len(landmarks) - len(bad)))
-    x_all, y_all = np.zeros((0, len(landmarks))), np.zeros(0)
+    negative = np.zeros((0, len(landmarks)))
     # The landmarks themselves, repeated to weigh as much as the texts found.
     proto = np.repeat((gram * norm[:, None])[: len(bad)], max(1, len(toxic) // len(bad)), axis=0)
     for _ in range(ROUNDS):
-        r = letters.responses(folded(alpha))
-        top = np.maximum.reduceat(r, begin)
-        at = np.array([b + int(np.argmax(r[b:e])) for b, e in zip(begin, np.append(begin[1:], len(r)))])
-        of = letters.text[begin]
-        x = np.zeros((len(at), len(landmarks)))
-        for d in range(WINDOW):
-            place = at + d
-            ok = place < last[at]
-            place = np.minimum(place, len(r) - 1)
-            for code, inside, weight in shapes:
-                x += (weight * (ok & inside[place]))[:, None] * matrix[index[code[place]]]
-        new = y[of] == 0
-        x_all = np.concatenate([x_all[y_all == 0], x[new], x[~new], proto])
-        y_all = np.concatenate([y_all[y_all == 0], y[of][new], y[of][~new], np.ones(len(proto))])
-        seen = (y_all == 0) | (np.abs(x_all).sum(1) > 0)  # a toxic text without any landmark's trace teaches nothing
-        weights, _ = _linear_svm((x_all @ whiten)[seen], y_all[seen])
+        machine = Machine(landmarks, folded(alpha))
+        worst = [_worst_windows(machine, texts[i : i + 100], matrix, index) for i in range(0, len(texts), 100)]
+        x = np.concatenate(worst)
+        negative = np.concatenate([negative, x[y == 0]])
+        positive = x[(y > 0) & (np.abs(x).sum(1) > 0)]  # a text without any landmark's trace teaches nothing
+        x_all = np.concatenate([negative, positive, proto])
+        weights, _ = _linear_svm(x_all @ whiten, np.append(np.zeros(len(negative)), np.ones(len(x_all) - len(negative))))
         alpha = whiten @ weights
     machine = Machine(landmarks, folded(alpha))
-    _calibrate(machine, machine.worst(letters)[y == 0], machine.worst(Letters(bad)))
+    known = machine.worst(Letters(bad))
+    _calibrate(machine, np.concatenate([machine.worst(Letters(clean[i : i + 100])) for i in range(0, len(clean), 100)]), known)
     return machine
 
 
+def _worst_windows(machine: Machine, texts: list[str], matrix: np.ndarray, index: np.ndarray) -> np.ndarray:
+    """Landmark kernel values of each text's window of the largest response; zeros without letters."""
+    letters = Letters(texts)
+    out = np.zeros((len(texts), matrix.shape[1]))
+    if not len(letters.code):
+        return out
+    r = letters.responses(machine.table)
+    begin = np.flatnonzero(np.append(True, letters.text[1:] != letters.text[:-1]))
+    at = np.array([b + int(np.argmax(r[b:e])) for b, e in zip(begin, np.append(begin[1:], len(r)))])
+    stop = np.searchsorted(letters.unit, letters.unit[at], "right")
+    for d in range(WINDOW):
+        ok = at + d < stop
+        place = np.minimum(at + d, len(r) - 1)
+        for code, inside, weight in letters.shapes_at(place):
+            out[letters.text[begin]] += (weight * (ok & inside))[:, None] * matrix[index[code]]
+    return out
+
+
 def _calibrate(machine: Machine, clean: np.ndarray, known: np.ndarray) -> None:
     """Log odds that are those of THRESHOLD between the responses of nearly all clean texts and of nearly
     all landmarks, and nearly certain at a landmark's usual response."""
@@ -310,7 +338,7 @@ def _calibrate(machine: Machine, clean: np.ndarray, known: np.ndarray) -> None:
 
 def fit(documents: DataFrame, labels: DataFrame, held_out: tuple[int, int] = HELD_OUT) -> Machine:
     """A machine fitted on at most DOCS_PER_CLASS whole texts of each label."""
-    return train(samples.labelled_texts(documents, labels, "toxic", DOCS_PER_CLASS, held_out))
+    return train(samples.labelled_texts(documents, labels, "toxic", DOCS_PER_CLASS, held_out, BYTES))
 
 
 def _texts(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
