@@ -2,26 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import work_folder
 
-class Scratch:
-    """Writes tables below ``spark.checkpoint.dir``; a reader of one needs no executor that made it.
 
-    Only where the setting is absent, as in local tests, a temporary folder of the driver serves.
-    """
+class Scratch:
+    """Writes tables into a shared folder of its own; a reader of one needs no executor that made it."""
 
     def __init__(self, spark: SparkSession, what: str):
-        self.spark = spark
-        root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-        if not root:
-            if not spark.sparkContext.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
-            root = "file://" + tempfile.mkdtemp(prefix="stratacell-")
-        self.root = f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex[:12]}"
+        self.spark, self.root = spark, work_folder(spark, what)
         self.n = 0
 
     def save(self, df: DataFrame) -> DataFrame:
