@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -18,3 +20,16 @@ def prepare(spark: SparkSession) -> SparkSession:
     if root not in known.split(os.pathsep):
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (root, known) if x)
     return spark
+
+
+def work_folder(spark: SparkSession, what: str) -> str:
+    """A new folder below ``spark.checkpoint.dir``, which all machines share.
+
+    Only where the setting is absent, as in local tests, a temporary folder of the driver serves.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        root = "file://" + tempfile.mkdtemp(prefix="stratacell-")
+    return f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex[:12]}"
