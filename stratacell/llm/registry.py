@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import prepare
-from . import byte_bpe, byte_cnn, decontaminate, lm_score, ngram_join, quality_rules, samples, secrets, substring_dedup, token_files, toxicity
+from . import byte_bpe, byte_cnn, decontaminate, lm_score, ngram_join, oracle, quality_rules, samples, secrets, substring_dedup, token_files, toxicity
 from .scratch import Scratch
 
 
@@ -17,7 +17,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("items")
+    return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,7 +31,7 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan(_table(spark, sf_dir, "documents"))
+    return secrets.scan(_table(spark, sf_dir, "documents")).drop("most_owners", "most_repositories")
 
 
 def _classified(scored: DataFrame, held_out: tuple[int, int]) -> DataFrame:
@@ -86,4 +86,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op1_decontamination": oracle.DECONTAMINATION,
+        "op4_secret_scan": oracle.SECRETS,
+        "op10_ngram_jaccard": oracle.JACCARD,
+    }
