@@ -108,6 +108,9 @@ class ByteCnn:
         d = (self.probability(pooled) - y) / len(y)
         back = d[:, None] * self.p["out"]
         top = (active == pooled[w.owner, :FILTERS]).astype(float)
+        ties = np.zeros((piece.n, FILTERS))
+        np.add.at(ties, w.owner, top)
+        top /= np.maximum(ties, 1)[w.owner]
         of_chunk = (back[w.owner, :FILTERS] * top + back[w.owner, FILTERS:] / w.chunks[w.owner][:, None]) * (active > 0)
         table_back = np.zeros((WIDTH, 256, FILTERS))
         columns = np.broadcast_to(np.arange(FILTERS), winner.shape)

@@ -19,8 +19,8 @@ from . import counts, samples
 from . import textkit as tk
 
 WORD_BITS, PAIR_BITS = 16, 20
-#: Weight of the shorter context: pseudo-tokens that follow the unigram, and that follow all words alike.
-PAIR_PRIOR, WORD_PRIOR = 20.0, 1 << 14
+#: Pseudo-tokens of each context that follow the unigram, and its share that goes to all words alike.
+PAIR_PRIOR, UNIFORM = 20.0, 0.05
 #: Most trusted documents (label ``quality`` 1) that the target model is counted on.
 TARGET_DOCS = 50_000
 LENGTH = (1 << WORD_BITS) + (1 << PAIR_BITS)
@@ -37,15 +37,18 @@ def tokens(piece: tk.Piece) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
 
 
 class Model:
-    """Log probabilities of a bigram model, interpolated with its unigram and a uniform one."""
+    """A bigram model, interpolated with its unigram and a uniform one. ``size``: the tokens that the
+    counts are scaled to, so that two models are smoothed alike."""
 
-    def __init__(self, count: np.ndarray):
-        self.word = count[: 1 << WORD_BITS].astype(np.float32)
-        self.pair = count[1 << WORD_BITS :].astype(np.float32)
-        self.total = float(self.word.sum(dtype=np.float64))
+    def __init__(self, count: np.ndarray, size: float | None = None):
+        total = float(count[: 1 << WORD_BITS].sum())
+        scale = size / total if size and total else 1.0
+        self.word = (count[: 1 << WORD_BITS] * scale).astype(np.float32)
+        self.pair = (count[1 << WORD_BITS :] * scale).astype(np.float32)
+        self.total = total * scale
 
     def loss(self, word: np.ndarray, cell: np.ndarray, before: np.ndarray) -> np.ndarray:
-        single = (self.word[word] + WORD_PRIOR / len(self.word)) / (self.total + WORD_PRIOR)
+        single = (1 - UNIFORM) * self.word[word] / max(self.total, 1.0) + UNIFORM / len(self.word)
         return -np.log((np.minimum(self.pair[cell], self.word[before]) + PAIR_PRIOR * single) / (self.word[before] + PAIR_PRIOR))
 
 
@@ -70,11 +73,12 @@ def _count(target: frozenset[int]):
 
 def fit(documents: DataFrame, labels: DataFrame) -> tuple[Model, Model]:
     """(target, background). The background counts every row; the target at most TARGET_DOCS trusted
-    documents, and the background itself where there is none."""
+    documents, and the background itself where there is none; the background is scaled to its size."""
     chosen = frozenset(r.doc_id for r in samples.chosen(labels, "quality", TARGET_DOCS).where("y = 1").collect())
     partial = documents.select("doc_id", "text").mapInArrow(_count(chosen), counts.SCHEMA)
     background, target = counts.gather(partial, LENGTH, 2)
-    return Model(target if target.any() else background), Model(background)
+    model = Model(target if target.any() else background)
+    return model, Model(background, model.total)
 
 
 SCHEMA = "doc_id long, n_tokens long, target_loss double, background_loss double, difference double, selected boolean"

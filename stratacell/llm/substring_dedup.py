@@ -22,7 +22,7 @@ from . import textkit as tk
 #: later where a character would be cut).
 CUT_BITS, LEAST, MOST = 5, 24, 512
 #: The least bytes and chunks of a passage.
-PASSAGE_BYTES, PASSAGE_CHUNKS = 96, 2
+PASSAGE_BYTES, PASSAGE_CHUNKS = 64, 1
 _REACH = 32
 _GEAR = (tk.constants(3, 256) >> tk.U64(20)).astype(np.uint32)
 _LAST = (1 << 63) - 1
@@ -132,6 +132,7 @@ def repeated_passages(documents: DataFrame, least_bytes: int = PASSAGE_BYTES, le
 
 def remove_passages(documents: DataFrame) -> DataFrame:
     """The documents, their texts without the passages that a smaller id keeps; all rows and columns stay."""
+    columns = documents.columns
     spans = repeated_passages(documents).where("doc_id is not null").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start_byte", "end_byte"))).alias("_spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,6 +146,6 @@ def remove_passages(documents: DataFrame) -> DataFrame:
                         last = s["end_byte"]
                     t = b"".join([*parts, raw[last:]]).decode(errors="ignore")
                 texts.append(t)
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else tk.take(batch, c) for c in documents.columns], names=documents.columns)
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else tk.take(batch, c) for c in columns], names=columns)
 
-    return documents.join(spans, "doc_id", "left").select(*documents.columns, "_spans").mapInArrow(run, documents.schema)
+    return documents.join(spans, "doc_id", "left").select(*columns, "_spans").mapInArrow(run, documents.schema)

@@ -57,7 +57,7 @@ def _class_table() -> np.ndarray:
 
 
 _CLASSES = _class_table()
-#: A look-alike counts only between letters; at a word's edge it is a sign.
+#: A look-alike counts only beside a letter.
 _SIGN = np.zeros(0x250, bool)
 _SIGN[[ord(c) for c in LOOKALIKES]] = True
 
@@ -80,7 +80,7 @@ class Letters:
         if len(sign):
             plain = (code > 0) & ~space & ~((points < 0x250) & _SIGN[low])
             around = np.concatenate([[False], plain, [False]])
-            code[sign[~(around[sign] & around[sign + 2])]] = 0
+            code[sign[~(around[sign] | around[sign + 2])]] = 0
         unit = np.cumsum(space | first)
         keep = (code > 0) & ~space
         self.code, unit, self.text = code[keep].astype(np.int32), unit[keep], text[keep]
@@ -327,12 +327,12 @@ def _worst_windows(machine: Machine, texts: list[str], matrix: np.ndarray, index
 
 def _calibrate(machine: Machine, clean: np.ndarray, known: np.ndarray) -> None:
     """Log odds that are those of THRESHOLD between the responses of nearly all clean texts and of nearly
-    all landmarks, and nearly certain at a landmark's usual response."""
+    all landmarks, and nearly certain at a landmark's usual response, or at none the other way."""
     low, high = float(np.quantile(clean, 0.998)), float(np.quantile(known, 0.1))
     cut = low + 0.4 * (high - low) if high > low else high
     usual = max(float(np.median(known)), cut + 1e-3)
     at_cut = np.log(THRESHOLD / (1 - THRESHOLD))
-    machine.scale = (4.0 - at_cut) / (usual - cut)
+    machine.scale = min((4.0 - at_cut) / (usual - cut), (8.0 + at_cut) / max(cut, 1e-3))
     machine.shift = at_cut - machine.scale * cut
 
 

@@ -83,14 +83,16 @@ def test_language_models_against_counts(spark, odd, empty, tables):
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(100)], "doc_id long, quality int, toxic int")
     target, background = lm_score.fit(df, labels)
-    assert background.total == 200 * 60 and target.total == 50 * 60
+    assert target.total == 50 * 60 and background.total == pytest.approx(target.total)
+    assert background.word.sum() == pytest.approx(3000, rel=1e-3) and lm_score.Model(np.ones(lm_score.LENGTH)).total == 1 << lm_score.WORD_BITS
     rows = lm_score.score(df, target, background).collect()
-    assert all(r.selected == bool(r.doc_id % 2) for r in rows)
+    assert max(r.difference for r in rows if r.doc_id % 2) < min(r.difference for r in rows if not r.doc_id % 2)
+    assert not any(r.selected for r in rows if not r.doc_id % 2) and all(r.selected for r in rows if r.doc_id % 2 and r.doc_id < 100)
     word, cell, before, text = lm_score.tokens(next(textkit.pieces(pa.array([docs[3][1]], pa.large_string()))))
     r = next(r for r in rows if r.doc_id == 3)
     losses = []
     for w, c, b in zip(word, cell, before):
-        p1 = (background.word[w] + lm_score.WORD_PRIOR / 2**lm_score.WORD_BITS) / (background.total + lm_score.WORD_PRIOR)
+        p1 = (1 - lm_score.UNIFORM) * background.word[w] / background.total + lm_score.UNIFORM / 2**lm_score.WORD_BITS
         losses.append(-math.log((min(background.pair[c], background.word[b]) + lm_score.PAIR_PRIOR * p1) / (background.word[b] + lm_score.PAIR_PRIOR)))
     assert r.n_tokens == 60 and r.background_loss == pytest.approx(np.mean(losses), rel=1e-4)
     assert r.difference == pytest.approx(r.target_loss - r.background_loss)
@@ -171,7 +173,7 @@ def test_kernel_counts_gapped_subsequences():
 
     for a, b in (("idiot", "idiot"), ("idiot", "idxiot"), ("abcabc", "cabcab"), ("abc", "abc"), ("scum", "scrum")):
         assert kernel(a, b) == pytest.approx(brute(a, b))
-    assert kernel("i.d.i-o_t", "idiot") == kernel("idiot", "idiot") == kernel("1d10t", "1d10t")
+    assert kernel("i.d.i-o_t", "idiot") == kernel("idiot", "idiot") == kernel("1d10t", "idiot")
 
 
 def test_machine_tolerates_inserted_characters():

@@ -49,12 +49,12 @@ def test_planted_passages_are_found(spark):
     rows = sd.repeated_passages(df).collect()
     expected = {i for ids in planted.values() for i in ids[1:]}
     assert {r.doc_id for r in rows} <= expected and len({r.doc_id for r in rows}) >= 0.98 * len(expected)
-    first = {i: ids[0] for ids in planted.values() for i in ids}
+    group = {i: k for k, ids in planted.items() for i in ids}
     texts = dict(docs)
     for r in rows:
-        assert r.first_doc_id == first[r.doc_id]
+        assert group[r.first_doc_id] == group[r.doc_id] and r.first_doc_id < r.doc_id
         part = texts[r.doc_id].encode()[r.start_byte : r.end_byte]
-        assert part in texts[r.first_doc_id].encode()
+        assert part in f" {passages[group[r.doc_id]]} ".encode()
     kept = {r.doc_id: r.text for r in sd.remove_passages(df).collect()}
     assert len(kept) == 400 and all(kept[i] == t for i, t in docs if i not in {r.doc_id for r in rows})
     assert all(len(kept[r.doc_id]) < len(texts[r.doc_id]) for r in rows)
@@ -77,7 +77,7 @@ def brute(rows):
                 out.append(tuple(open_))
             open_ = None
         if again:
-            open_ = [key, pos, pos + len(c), open_[3] + 1, open_[4]] if False else (open_ or [key, pos, pos, 0, min(holders[c])])
+            open_ = open_ or [key, pos, pos, 0, min(holders[c])]
             open_ = [open_[0], open_[1], pos + len(c), open_[3] + 1, open_[4]]
     return sorted(out)
 
