@@ -14,6 +14,7 @@ symbols uint16 if all fit, else uint32.
 from __future__ import annotations
 
 import hashlib
+import os
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -159,6 +160,7 @@ class WordTokenizer:
     _mark = "\x01"
 
     def __init__(self, definition: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; the library's idle threads would spin
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(definition)
