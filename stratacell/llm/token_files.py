@@ -15,15 +15,12 @@ from __future__ import annotations
 
 import hashlib
 import os
-import unicodedata
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,20 +35,24 @@ FILE_TOKENS = 1 << 19
 #: Most rounds, most rules of a round, and how often a pair must occur to be replaced.
 ROUNDS, ROUND_RULES, LEAST_COUNT = 4, 2048, 24
 #: Most remembered words of a Python worker.
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 1_500_000
 _BITS = 20
 
 
-def _frequent_pairs(symbols: np.ndarray, closed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The code of the pair that begins at each place, and the most frequent codes, ascending."""
-    code = symbols[:-1] << np.int64(32) | symbols[1:]
-    cell = (tk.mix(code.astype(tk.U64)) >> tk.U64(64 - _BITS)).astype(np.int32)
+def _frequent_pairs(symbols: np.ndarray, closed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The most frequent pairs' codes, ascending, the places where one begins, and which it is."""
+    cell = (symbols[:-1] * np.uint32(0x9E3779B1) + symbols[1:]) * np.uint32(0x85EBCA6B) >> np.uint32(32 - _BITS)
     enough = np.bincount(cell, minlength=1 << _BITS) >= LEAST_COUNT
-    values, counts = np.unique(code[enough[cell] & ~closed[:-1]], return_counts=True)
-    values, counts = values[counts >= LEAST_COUNT], counts[counts >= LEAST_COUNT]
-    if len(values) > ROUND_RULES:
-        values = values[np.lexsort((values, -counts))[:ROUND_RULES]]
-    return code, np.sort(values)
+    place = np.flatnonzero(enough[cell] & ~closed[:-1])
+    code = symbols[place].astype(np.int64) << np.int64(32) | symbols[place + 1]
+    values, inverse, counts = np.unique(code, return_inverse=True, return_counts=True)
+    often = np.flatnonzero(counts >= LEAST_COUNT)
+    if len(often) > ROUND_RULES:
+        often = np.sort(often[np.lexsort((values[often], -counts[often]))[:ROUND_RULES]])
+    number = np.full(len(values), -1)
+    number[often] = np.arange(len(often))
+    which = number[inverse]
+    return values[often], place[which >= 0], which[which >= 0]
 
 
 def repair(ids: np.ndarray, ends: np.ndarray, terminals: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -59,30 +60,28 @@ def repair(ids: np.ndarray, ends: np.ndarray, terminals: int) -> tuple[np.ndarra
 
     ``ends``: the number of ids up to each document's end, ascending.
     """
-    symbols = ids.astype(np.int64)
+    symbols = ids.astype(np.uint32)
     closed = np.zeros(len(symbols), bool)
     closed[ends[ends > 0] - 1] = True
     rules, lengths = np.zeros((0, 2), np.int64), np.ones(terminals, np.int64)
     for _ in range(ROUNDS):
         if len(symbols) < 2:
             break
-        code, chosen = _frequent_pairs(symbols, closed)
+        chosen, place, which = _frequent_pairs(symbols, closed)
         if not len(chosen):
             break
-        at = np.minimum(np.searchsorted(chosen, code), len(chosen) - 1)
-        hit = (chosen[at] == code) & ~closed[:-1]
-        place = np.flatnonzero(hit)
         # Of overlapping pairs in a row, each second one waits for the next round.
         new = np.ones(len(place), bool)
         new[1:] = place[1:] != place[:-1] + 1
         first = np.maximum.accumulate(np.where(new, np.arange(len(place)), 0))
-        place = place[(np.arange(len(place)) - first) % 2 == 0]
-        used, number = np.unique(at[place], return_inverse=True)
+        taken = (np.arange(len(place)) - first) % 2 == 0
+        place = place[taken]
+        used, number = np.unique(which[taken], return_inverse=True)
         base = terminals + len(rules)
         pairs = np.stack([chosen[used] >> 32, chosen[used] & 0xFFFFFFFF], axis=1)
         rules = np.concatenate([rules, pairs])
         lengths = np.append(lengths, lengths[pairs[:, 0]] + lengths[pairs[:, 1]])
-        symbols[place] = base + number
+        symbols[place] = (base + number).astype(np.uint32)
         closed[place] = closed[place + 1]
         stay = np.ones(len(symbols), bool)
         stay[place + 1] = False
@@ -151,10 +150,10 @@ class TokenFile:
 class WordTokenizer:
     """The tokenizers library's ids, remembered by word.
 
-    The definition normalises (NFC, lower case) and splits into pre-tokens that never cross white space,
-    so a text's ids are those of its normalised words in a row. Words not yet known are encoded many in
-    one call, told apart by a mark that is a pre-token of one id. Texts that this could read otherwise
-    (special tokens, rare characters) go through the library whole.
+    The vocabulary's normaliser and pre-tokens never act across white space and ignore the case of A-Z, so
+    a text's ids are those of its words in a row. Words are known by 64-bit hashes of their bytes with
+    A-Z folded; unknown ones are encoded many in one call, told apart by a mark that is a pre-token of
+    one id. Texts with that mark or what may be a special token go through the library whole.
     """
 
     _mark = "\x01"
@@ -166,38 +165,63 @@ class WordTokenizer:
         self.library = Tokenizer.from_str(definition)
         self.terminals = self.library.get_vocab_size(with_added_tokens=True)
         (self.mark_id,) = self._ids(self._mark)
-        self.known: dict[str, list[int]] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.hashes, self.begin, self.length = np.zeros(0, tk.U64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat, self.used = np.zeros(1 << 16, np.int32), 0
 
     def _ids(self, text: str) -> list[int]:
         return self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        split = [None if _ODD(t) else _normal(t).split() for t in texts]
-        words = {w for own in split if own for w in own}
-        missing = words - self.known.keys()
-        if len(self.known) + len(missing) > CACHE_ENTRIES:
-            self.known.clear()
-            missing = words
-        missing = list(missing)
-        for i in range(0, len(missing), 1000):
-            self._learn(missing[i : i + 1000])
-        get = self.known.__getitem__
-        return [self._ids(t) if own is None else list(chain.from_iterable(map(get, own))) for t, own in zip(texts, split)]
-
-    def _learn(self, words: list[str]) -> None:
-        ids, begin = self._ids(f" {self._mark} ".join([*words, ""])), 0
-        for w in words:
-            end = ids.index(self.mark_id, begin)
-            self.known[w] = ids[begin:end]
-            begin = end + 1
-
-
-#: Special tokens, and characters outside the ranges that tests compare with the library one by one.
-_ODD = regex.compile(r"<\||[^\x00\x02-\x1B\x20-\u024F\u0370-\u03A2\u03A4-\u03FF\u0400-\u04FF\u2010-\u2027\u20A0-\u20BF\u3040-\u3096\u30A0-\u30FF\u4E00-\u9FA5\uAC00-\uD7A3]").search
-
-
-def _normal(text: str) -> str:
-    return unicodedata.normalize("NFC", text).lower()
+    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
+        """Adds words, in ascending order of their hashes; one that holds the mark as nothing, for its text goes
+        another way."""
+        words = ["" if self._mark in w else w for w in words]
+        parts = [self._ids(f" {self._mark} ".join([*words[i : i + 1000], ""])) for i in range(0, len(words), 1000)]
+        ids = np.concatenate([np.array(x, np.int32) for x in parts])
+        marks = np.flatnonzero(ids == self.mark_id)
+        if self.used + len(ids) > len(self.flat):
+            self.flat = np.append(self.flat[: self.used], np.zeros(len(ids) + self.used, np.int32))
+        self.flat[self.used : self.used + len(ids)] = ids
+        begin = np.append(0, marks[:-1] + 1)
+        at = np.searchsorted(self.hashes, hashes)
+        self.hashes = np.insert(self.hashes, at, hashes)
+        self.begin = np.insert(self.begin, at, self.used + begin)
+        self.length = np.insert(self.length, at, marks - begin)
+        self.used += len(ids)
+
+    def _places(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.searchsorted(self.hashes, hashes)
+        here = np.minimum(at, max(0, len(self.hashes) - 1))
+        return here, self.hashes[here] == hashes if len(self.hashes) else np.zeros(len(hashes), bool)
+
+    def encode(self, piece: tk.Piece) -> list[np.ndarray]:
+        """The ids of each text of a piece, END_ID last."""
+        start, end, text = piece.words(tk.NON_SPACE)
+        hashes, first, inverse = np.unique(piece.span_hash(piece.prefix(tk.FOLDED_VALUES), start, end), return_index=True, return_inverse=True)
+        at, known = self._places(hashes)
+        if not known.all():
+            if len(self.hashes) + len(hashes) > CACHE_ENTRIES:
+                self._forget()
+                known[:] = False
+            raw, new = piece.buf.tobytes(), np.flatnonzero(~known)
+            self._learn(hashes[new], [raw[a:b].decode() for a, b in zip(start[first[new]].tolist(), end[first[new]].tolist())])
+            at, known = self._places(hashes)
+        n = self.length[at][inverse]
+        before = np.cumsum(n) - n
+        out = np.full(int(n.sum()) + piece.n, END_ID, np.int32)
+        offset = np.arange(n.sum()) - np.repeat(before, n)
+        out[np.repeat(before + text, n) + offset] = self.flat[np.repeat(self.begin[at][inverse], n) + offset]
+        bounds = np.append(0, np.cumsum(np.bincount(text, n, minlength=piece.n).astype(np.int64) + 1))
+        lists = [out[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
+        special = np.flatnonzero(piece.buf == 1)
+        if len(piece.buf) > 1:
+            special = np.append(special, np.flatnonzero((piece.buf[:-1] == 0x3C) & (piece.buf[1:] == 0x7C)))
+        for i in np.unique(piece.text_of(special)).tolist():
+            whole = piece.buf[piece.offs[i] : piece.offs[i + 1]].tobytes().decode()
+            lists[i] = np.array([*self._ids(whole), END_ID], np.int32)
+        return lists
 
 
 _made: dict[str, WordTokenizer] = {}
@@ -232,16 +256,14 @@ def token_files(documents: DataFrame, path: str, scratch: Scratch, file_tokens:
             return pa.RecordBatch.from_pylist([{"part": part, "seq": seq, "start": start, "n_tokens": held, "payload": write_file(keys, lists, coder.terminals)}], pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("payload", pa.binary())]))
 
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                own = batch.slice(i, 256)
-                texts = [t or "" for t in tk.take(own, "text").to_pylist()]
-                for key, ids in zip(tk.take(own, "doc_id").to_pylist(), coder.encode(texts)):
-                    ids.append(END_ID)
+            names = tk.take(batch, "doc_id").to_pylist()
+            for piece in tk.pieces(tk.take(batch, "text")):
+                for key, ids in zip(names[piece.first : piece.first + piece.n], coder.encode(piece)):
                     if keys and held + len(ids) > file_tokens:
                         yield close()
                         seq, start, held, keys, lists = seq + 1, start + held, 0, [], []
                     keys.append(key)
-                    lists.append(np.array(ids, np.int32))
+                    lists.append(ids)
                     held += len(ids)
         if keys:
             yield close()
