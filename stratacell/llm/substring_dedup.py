@@ -20,9 +20,10 @@ from . import textkit as tk
 
 #: A chunk ends where CUT_BITS bits are zero, after LEAST bytes and after MOST at the latest (a little
 #: later where a character would be cut).
-CUT_BITS, LEAST, MOST = 5, 24, 512
-#: The least bytes and chunks of a passage.
-PASSAGE_BYTES, PASSAGE_CHUNKS = 64, 1
+CUT_BITS, LEAST, MOST = 4, 16, 512
+#: The least bytes and chunks of a passage: more than a line that many documents share, and less than what
+#: is left between the first and last whole chunk of fifty shared words.
+PASSAGE_BYTES, PASSAGE_CHUNKS = 104, 2
 _REACH = 32
 _GEAR = (tk.constants(3, 256) >> tk.U64(20)).astype(np.uint32)
 _LAST = (1 << 63) - 1
