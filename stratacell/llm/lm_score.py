@@ -3,8 +3,9 @@
 Two bigram models with the same vocabulary, order and smoothing: a target model counted on trusted
 documents and a background model counted on the whole corpus. A document's score is the mean, over its
 tokens, of the target's loss less the background's; the lower, the more it resembles the target.
-The vocabulary is a fixed number of word hashes, and word pairs share a fixed number of cells, so both
-models have a fixed size while their counts grow with the corpus.
+The vocabulary is a number of word hashes, and word pairs share cells; both numbers are powers of two
+that grow in proportion to the bytes of the corpus, so that cells do not fill up with collisions. Tasks
+send counts of filled cells, and every row and every trusted document is counted.
 """
 
 from __future__ import annotations
@@ -14,25 +15,31 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import counts, samples
 from . import textkit as tk
 
+#: The least bits of a word's and a pair's cell, and the bytes of corpus for each cell beyond that.
 WORD_BITS, PAIR_BITS = 16, 20
+WORD_CELL_BYTES, PAIR_CELL_BYTES = 256, 64
 #: Pseudo-tokens of each context that follow the unigram, and its share that goes to all words alike.
 PAIR_PRIOR, UNIFORM = 20.0, 0.05
-#: Most trusted documents (label ``quality`` 1) that the target model is counted on.
-TARGET_DOCS = 50_000
 LENGTH = (1 << WORD_BITS) + (1 << PAIR_BITS)
 
 
-def tokens(piece: tk.Piece) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def cell_bits(n_bytes: int) -> tuple[int, int]:
+    """Bits of a word's and of a pair's cell for a corpus of so many bytes."""
+    return max(WORD_BITS, (n_bytes // WORD_CELL_BYTES).bit_length()), max(PAIR_BITS, (n_bytes // PAIR_CELL_BYTES).bit_length())
+
+
+def tokens(piece: tk.Piece, word_bits: int = WORD_BITS, pair_bits: int = PAIR_BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Word, cell of the pair with the word before (or the text's begin), that word, and text of each token."""
     start, end, text = piece.words(tk.NON_SPACE)
-    word = (tk.mix(piece.span_hash(piece.prefix(tk.FOLDED_VALUES), start, end)) >> tk.U64(64 - WORD_BITS)).astype(np.int64)
+    word = (tk.mix(piece.span_hash(piece.prefix(tk.FOLDED_VALUES), start, end)) >> tk.U64(64 - word_bits)).astype(np.int64)
     before = np.zeros(len(word), np.int64)
     before[1:] = np.where(text[1:] == text[:-1], word[:-1], 0)
-    cell = tk.mix(before.astype(tk.U64) * tk.NGRAM[7] + word.astype(tk.U64) * tk.NGRAM[8]) >> tk.U64(64 - PAIR_BITS)
+    cell = tk.mix(before.astype(tk.U64) * tk.NGRAM[7] + word.astype(tk.U64) * tk.NGRAM[8]) >> tk.U64(64 - pair_bits)
     return word, cell.astype(np.int64), before, text
 
 
@@ -40,45 +47,45 @@ class Model:
     """A bigram model, interpolated with its unigram and a uniform one. ``size``: the tokens that the
     counts are scaled to, so that two models are smoothed alike."""
 
-    def __init__(self, count: np.ndarray, size: float | None = None):
-        total = float(count[: 1 << WORD_BITS].sum())
-        scale = size / total if size and total else 1.0
-        self.word = (count[: 1 << WORD_BITS] * scale).astype(np.float32)
-        self.pair = (count[1 << WORD_BITS :] * scale).astype(np.float32)
-        self.total = total * scale
+    def __init__(self, count: np.ndarray, size: float | None = None, word_bits: int = WORD_BITS):
+        words = 1 << word_bits
+        total = float(count[:words].sum(dtype=np.float64))
+        scale = np.float32(size / total if size and total else 1.0)
+        self.word = (count[:words] * scale).astype(np.float32, copy=False)
+        self.pair = (count[words:] * scale).astype(np.float32, copy=False)
+        self.total = size if size and total else total
+        self.bits = word_bits, len(self.pair).bit_length() - 1
 
     def loss(self, word: np.ndarray, cell: np.ndarray, before: np.ndarray) -> np.ndarray:
         single = (1 - UNIFORM) * self.word[word] / max(self.total, 1.0) + UNIFORM / len(self.word)
         return -np.log((np.minimum(self.pair[cell], self.word[before]) + PAIR_PRIOR * single) / (self.word[before] + PAIR_PRIOR))
 
 
-def _count(target: frozenset[int]):
-    ids = np.sort(np.fromiter(target, np.int64, len(target)))
+def _count(bits: tuple[int, int], vector: int):
+    length = (1 << bits[0]) + (1 << bits[1])
+    kind = np.uint32 if length <= 1 << 32 else np.int64
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, LENGTH), np.int64)
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         for batch in batches:
-            own = np.isin(tk.take(batch, "doc_id").fill_null(-1).to_numpy(zero_copy_only=False), ids)
             for piece in tk.pieces(tk.take(batch, "text")):
-                word, cell, _, text = tokens(piece)
-                of_target = own[piece.first + text]
-                for k, keep in ((0, slice(None)), (1, of_target)):
-                    total[k, : 1 << WORD_BITS] += np.bincount(word[keep], minlength=1 << WORD_BITS)
-                    total[k, 1 << WORD_BITS :] += np.bincount(cell[keep], minlength=1 << PAIR_BITS)
-        for k in (0, 1):
-            yield from counts.strands(total[k], k)
+                word, cell, _, _ = tokens(piece, *bits)
+                yield np.concatenate([word, cell + (1 << bits[0])]).astype(kind)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from counts.filled(cells(batches), length, vector)
 
     return run
 
 
 def fit(documents: DataFrame, labels: DataFrame) -> tuple[Model, Model]:
-    """(target, background). The background counts every row; the target at most TARGET_DOCS trusted
-    documents, and the background itself where there is none; the background is scaled to its size."""
-    chosen = frozenset(r.doc_id for r in samples.chosen(labels, "quality", TARGET_DOCS).where("y = 1").collect())
-    partial = documents.select("doc_id", "text").mapInArrow(_count(chosen), counts.SCHEMA)
-    background, target = counts.gather(partial, LENGTH, 2)
-    model = Model(target if target.any() else background)
-    return model, Model(background, model.total)
+    """(target, background). The background counts every row; the target every document with label
+    ``quality`` 1, and the background itself where there is none; the background is scaled to its size."""
+    bits = cell_bits(documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    parts = [documents.select("doc_id", "text"), samples.of_trusted(documents, labels)]
+    partial = [x.mapInArrow(_count(bits, k), counts.FILLED) for k, x in enumerate(parts)]
+    background, target = counts.gather_filled(partial[0].unionByName(partial[1]), (1 << bits[0]) + (1 << bits[1]), 2)
+    model = Model(target if target.any() else background, word_bits=bits[0])
+    return model, Model(background, model.total, bits[0])
 
 
 SCHEMA = "doc_id long, n_tokens long, target_loss double, background_loss double, difference double, selected boolean"
@@ -90,14 +97,14 @@ def score(documents: DataFrame, target: Model, background: Model, cut: float = 0
     A null or empty text has no tokens, losses of 0 and is not selected. Ids may be null or repeat; other
     columns are not read. Scoring shuffles nothing.
     """
-    sent = documents.sparkSession.sparkContext.broadcast((target, background))  # 2 * LENGTH numbers
+    sent = documents.sparkSession.sparkContext.broadcast((target, background))  # a number for each cell, twice
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         models = sent.value
         for batch in batches:
             ids = tk.take(batch, "doc_id")
             for piece in tk.pieces(tk.take(batch, "text")):
-                word, cell, before, text = tokens(piece)
+                word, cell, before, text = tokens(piece, *models[0].bits)
                 n = np.bincount(text, minlength=piece.n)
                 t, b = (np.bincount(text, m.loss(word, cell, before), minlength=piece.n) / np.maximum(n, 1) for m in models)
                 yield pa.RecordBatch.from_arrays([ids.slice(piece.first, piece.n), pa.array(n, pa.int64()), pa.array(t), pa.array(b), pa.array(t - b), pa.array((n > 0) & (t - b <= cut))], names=[x.split()[0] for x in SCHEMA.split(", ")])

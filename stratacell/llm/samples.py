@@ -25,6 +25,13 @@ def chosen(labels: DataFrame, label: str, per_class: int, held_out: tuple[int, i
     return parts[0].unionByName(parts[1])
 
 
+def of_trusted(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, text) of every document whose id has label ``quality`` 1, joined in the cluster. An id with
+    contradictory labels is trusted; null ids are not."""
+    trusted = labels.where("doc_id is not null and cast(quality as int) = 1").select("doc_id").distinct()
+    return documents.select("doc_id", "text").join(trusted.hint("shuffle_hash"), "doc_id", "left_semi")
+
+
 def labelled_texts(documents: DataFrame, labels: DataFrame, label: str, per_class: int, held_out: tuple[int, int] | None = None, most_bytes: int = 48 << 20) -> list[tuple[str, int]]:
     """Whole texts with labels, at most ``per_class`` of each and about ``most_bytes`` in all."""
     ids = chosen(labels, label, per_class, held_out)

@@ -101,6 +101,28 @@ def test_language_models_against_counts(spark, odd, empty, tables):
     assert lm_score.score(empty, *lm_score.fit(empty, tables("labels").limit(0))).count() == 0
 
 
+def test_language_models_count_every_trusted_document(spark):
+    n = 60_000
+    df = spark.range(n, numPartitions=8).selectExpr("id as doc_id", "concat('own', id, ' common words') as text")
+    df = df.unionByName(spark.createDataFrame([(None, "no id here"), (3, None)], "doc_id long, text string"))
+    labels = spark.range(n, numPartitions=8).selectExpr("id as doc_id", "1 as quality", "0 as toxic")
+    target, background = lm_score.fit(df, labels.unionByName(labels.selectExpr("doc_id", "0 as quality", "toxic")))
+    assert target.total == 3 * n and target.word.sum(dtype=np.float64) == target.pair.sum(dtype=np.float64) == 3 * n
+    assert background.total == target.total
+
+
+def test_language_model_cells_grow_with_the_corpus(spark, monkeypatch):
+    assert lm_score.cell_bits(0) == (lm_score.WORD_BITS, lm_score.PAIR_BITS)
+    small, large = lm_score.cell_bits(10**9), lm_score.cell_bits(60 * 10**9)
+    assert large[0] - small[0] in (5, 6) and large[1] - small[1] in (5, 6)
+    monkeypatch.setattr(lm_score, "cell_bits", lambda n: (18, 22))
+    df = spark.createDataFrame([(i, f"w{i} v{i} w{i}") for i in range(500)], "doc_id long, text string")
+    target, background = lm_score.fit(df, spark.createDataFrame([(i, 1) for i in range(0, 500, 2)], "doc_id long, quality int"))
+    assert target.bits == (18, 22) and target.total == 750 and background.pair.sum() == pytest.approx(750, rel=1e-4)
+    rows = lm_score.score(df, target, background).collect()
+    assert all((r.difference < 0) == (r.doc_id % 2 == 0) for r in rows)
+
+
 def accuracy(query, label, spark, tables):
     labels = {r.doc_id: r[label] for r in tables("labels").collect()}
     rows = [(r.predicted, labels[r.doc_id]) for r in query(spark, SF).collect() if r.held_out and r.doc_id in labels]
