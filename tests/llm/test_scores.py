@@ -71,6 +71,15 @@ def test_likelihood_ratio_is_the_mean_over_ngrams():
     assert np.allclose(same, 0)
 
 
+def test_every_trusted_document_is_counted(spark):
+    labels = spark.range(60_000).selectExpr("id as doc_id", "1 as quality")
+    df = spark.range(60_000, numPartitions=8).selectExpr("id as doc_id", "'one' as text")
+    more = df.unionByName(spark.range(60_000, 120_000, numPartitions=8).selectExpr("id as doc_id", "'two' as text"))
+    ratios = quality_rules.fit(more, labels).ratios
+    weight, share = quality_rules.SMOOTHING * (1 << quality_rules.BUCKET_BITS), 0.5
+    assert ratios.max() == pytest.approx(math.log((60_000 + weight * share) / (60_000 + weight) / share), rel=1e-4)
+
+
 def test_threshold():
     value = np.array([0.0, 1.0, 2.0, 3.0])
     assert 1.0 < quality_rules.best_threshold(value, np.array([False, False, True, True])) < 2.0
