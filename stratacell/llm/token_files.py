@@ -150,10 +150,12 @@ class TokenFile:
 class WordTokenizer:
     """The tokenizers library's ids, remembered by word.
 
-    The vocabulary's normaliser and pre-tokens never act across white space and ignore the case of A-Z, so
-    a text's ids are those of its words in a row. Words are known by 64-bit hashes of their bytes with
-    A-Z folded; unknown ones are encoded many in one call, told apart by a mark that is a pre-token of
-    one id. Texts with that mark or what may be a special token go through the library whole.
+    The vocabulary's normaliser and pre-tokens never act across white space, so a text's ids are those of
+    its words in a row. Words are known by 64-bit hashes of their bytes, words of ASCII alone with A-Z
+    folded: before a combining mark the case matters, for marks are composed before letters are lowered
+    and some letters have a composed form in one case only. Unknown words are encoded many in one call,
+    told apart by a mark that is a pre-token of one id. Texts with that mark or what may be a special
+    token go through the library whole.
     """
 
     _mark = "\x01"
@@ -199,7 +201,7 @@ class WordTokenizer:
     def encode(self, piece: tk.Piece) -> list[np.ndarray]:
         """The ids of each text of a piece, END_ID last."""
         start, end, text = piece.words(tk.NON_SPACE)
-        hashes, first, inverse = np.unique(piece.span_hash(piece.prefix(tk.FOLDED_VALUES), start, end), return_index=True, return_inverse=True)
+        hashes, first, inverse = np.unique(piece.span_hash(_folded(piece, start, end).prefix(), start, end), return_index=True, return_inverse=True)
         at, known = self._places(hashes)
         if not known.all():
             if len(self.hashes) + len(hashes) > CACHE_ENTRIES:
@@ -224,6 +226,20 @@ class WordTokenizer:
         return lists
 
 
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
+def _folded(piece: tk.Piece, start: np.ndarray, end: np.ndarray) -> tk.Piece:
+    """The piece with A-Z folded in words of ASCII alone."""
+    buf = _LOWER[piece.buf]
+    wide = np.flatnonzero(piece.buf >= 0x80)
+    if len(wide):
+        for k in np.unique(np.searchsorted(start, wide, "right") - 1).tolist():
+            buf[start[k] : end[k]] = piece.buf[start[k] : end[k]]
+    return tk.Piece(piece.first, buf, piece.offs)
+
+
 _made: dict[str, WordTokenizer] = {}
 
 

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import unicodedata
 import zlib
 
 import numpy as np
@@ -90,6 +91,16 @@ def test_every_character_reads_as_in_the_library():
     assert word_ids(own, texts) == [[*e.ids, 1] for e in library.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_letters_before_combining_marks_keep_their_case():
+    marks = [c for c in map(chr, range(0x30000)) if unicodedata.combining(c)]
+    cases = [[f"{chr(a + i)}{m} x{chr(a + i)}{m}" for m in marks for i in range(26)] for a in (65, 97)]
+    library = Tokenizer.from_file(WORDS)
+    assert library.encode("H\u0331", add_special_tokens=False).ids != library.encode("h\u0331", add_special_tokens=False).ids
+    for texts in (cases[0] + cases[1], cases[1] + cases[0]):
+        own = token_files.WordTokenizer(open(WORDS).read())
+        assert word_ids(own, texts) == [[*e.ids, 1] for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_file_round_trip_and_random_access():
     rng = np.random.default_rng(2)
     for terminals in (50, 49408, 200_000):
