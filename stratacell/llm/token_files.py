@@ -32,8 +32,9 @@ MAGIC = b"RPR1"
 END_ID = 1
 #: Tokens after which a file is closed; a longer document is a file of its own.
 FILE_TOKENS = 1 << 19
-#: Most rounds, most rules of a round, and how often a pair must occur to be replaced.
-ROUNDS, ROUND_RULES, LEAST_COUNT = 4, 2048, 24
+#: How often a pair must occur to be replaced: a rule takes 12 bytes and a replaced pair saves 2. A round
+#: takes the most frequent pairs first and leaves the others to later rounds.
+LEAST_COUNT, ROUND_RULES = 8, 4096
 #: Most remembered words of a Python worker.
 CACHE_ENTRIES = 1_500_000
 _BITS = 20
@@ -64,9 +65,7 @@ def repair(ids: np.ndarray, ends: np.ndarray, terminals: int) -> tuple[np.ndarra
     closed = np.zeros(len(symbols), bool)
     closed[ends[ends > 0] - 1] = True
     rules, lengths = np.zeros((0, 2), np.int64), np.ones(terminals, np.int64)
-    for _ in range(ROUNDS):
-        if len(symbols) < 2:
-            break
+    while len(symbols) > 1:
         chosen, place, which = _frequent_pairs(symbols, closed)
         if not len(chosen):
             break
@@ -120,10 +119,13 @@ class TokenFile:
         self.lengths = np.append(np.ones(terminals, np.int64), lengths)
         self.begin = np.append(np.arange(terminals), terminals + np.cumsum(lengths) - lengths)
         self.flat = np.append(np.arange(terminals), np.zeros(int(lengths.sum()), np.int64))
-        for k, (a, b) in enumerate(self.rules.tolist()):
-            to, na = int(self.begin[terminals + k]), int(self.lengths[a])
-            self.flat[to : to + na] = self.flat[self.begin[a] : self.begin[a] + na]
-            self.flat[to + na : to + int(lengths[k])] = self.flat[self.begin[b] : self.begin[b] + int(self.lengths[b])]
+        # Rules in a row that use none of each other are expanded together.
+        most, k = np.maximum.accumulate(self.rules.max(axis=1, initial=0)), 0
+        while k < n_rules:
+            stop = int(np.searchsorted(most, terminals + k))
+            to = int(self.begin[terminals + k])
+            self.flat[to : to + int(lengths[k:stop].sum())] = self.expand(self.rules[k:stop].reshape(-1))
+            k = stop
 
     def _read(self, kind, n: int) -> np.ndarray:
         out = np.frombuffer(self._blob, kind, n, self._at)
@@ -232,11 +234,12 @@ _LOWER[65:91] += 32
 
 def _folded(piece: tk.Piece, start: np.ndarray, end: np.ndarray) -> tk.Piece:
     """The piece with A-Z folded in words of ASCII alone."""
-    buf = _LOWER[piece.buf]
-    wide = np.flatnonzero(piece.buf >= 0x80)
-    if len(wide):
-        for k in np.unique(np.searchsorted(start, wide, "right") - 1).tolist():
-            buf[start[k] : end[k]] = piece.buf[start[k] : end[k]]
+    buf, wide = _LOWER[piece.buf], np.append(0, np.cumsum(piece.buf >= 0x80, dtype=np.int64))
+    if wide[-1]:
+        at = np.flatnonzero(buf != piece.buf)
+        word = np.searchsorted(start, at, "right") - 1
+        at = at[wide[end[word]] > wide[start[word]]]
+        buf[at] = piece.buf[at]
     return tk.Piece(piece.first, buf, piece.offs)
 
 

@@ -2,6 +2,7 @@ import hashlib
 import random
 import unicodedata
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -118,6 +119,20 @@ def test_file_round_trip_and_random_access():
         token_files.TokenFile(b"none")
 
 
+def test_no_frequent_pair_stays():
+    rng = np.random.default_rng(3)
+    copied = [rng.integers(0, 49408, 1000).astype(np.int32)] * 500
+    lists = [rng.integers(0, 300, 1000).astype(np.int32) for _ in range(100)] + [np.full(3000, 7, np.int32)]
+    for documents, most in ((copied, 2 * 500), (lists, 10**9)):
+        f = token_files.TokenFile(token_files.write_file(list(range(len(documents))), documents, 49408))
+        assert all((f.document(i) == x).all() for i, x in enumerate(documents)) and len(f.symbols) <= most
+        pairs = Counter()
+        for a, b in zip(f.bounds[:-1], f.bounds[1:]):
+            own = f.symbols[a:b].tolist()
+            pairs.update(zip(own, own[1:]))
+        assert not pairs or max(pairs.values()) < token_files.LEAST_COUNT
+
+
 def expected(rows, library):
     out, start = [], 0
     for key, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
