@@ -33,17 +33,28 @@ def of_trusted(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def labelled_texts(documents: DataFrame, labels: DataFrame, label: str, per_class: int, held_out: tuple[int, int] | None = None, most_bytes: int = 48 << 20) -> list[tuple[str, int]]:
-    """Whole texts with labels, at most ``per_class`` of each and about ``most_bytes`` in all."""
+    """Whole texts with labels, at most ``per_class`` of each and ``most_bytes`` in all.
+
+    A text that does not fit into what is left is passed over. If that leaves no text of a class that has
+    some, ValueError is raised.
+    """
     ids = chosen(labels, label, per_class, held_out)
     rows = ids.sparkSession.createDataFrame(ids.collect(), ids.schema)  # at most 2 * per_class pairs of numbers
-    found = documents.select("doc_id", "text").join(F.broadcast(rows), "doc_id").where("text is not null").select("text", "y", F.xxhash64("doc_id", F.lit(18)).alias("h"), "doc_id")
-    sizes = found.select("h", "doc_id", F.octet_length("text").alias("n")).orderBy("h", "doc_id").limit(4 * per_class).collect()
-    total, last = 0, None
+    found = documents.select("doc_id", "text").join(F.broadcast(rows), "doc_id").where("text is not null").select("text", "y", F.xxhash64("doc_id", F.lit(18)).alias("h"), "doc_id", F.octet_length("text").alias("n"))
+    sizes = found.select("h", "doc_id", "n", "y").orderBy("h", "doc_id", "n").limit(4 * per_class).collect()
+    total, fit = 0, []
     for r in sizes:
-        total += r.n
-        if total > most_bytes:
-            break
-        last = r.h
-    if last is None:
+        if total + r.n <= most_bytes:
+            total += r.n
+            fit.append(r)
+    if {r.y for r in fit} != {r.y for r in sizes}:
+        raise ValueError(f"no text with label {label} of some class fits into {most_bytes} bytes")
+    if not fit:
         return []
-    return [(r.text, r.y) for r in found.where(F.col("h") <= last).orderBy("h", "doc_id", "text").limit(4 * per_class).select("text", "y").toLocalIterator()]
+    keys = ids.sparkSession.createDataFrame(sorted({(r.doc_id, r.n) for r in fit}), "doc_id long, n int")  # at most 4 * per_class
+    out, total = [], 0
+    for r in found.join(F.broadcast(keys), ["doc_id", "n"]).orderBy("h", "doc_id", "n", "text").limit(4 * per_class).select("text", "y", "n").toLocalIterator():
+        if total + r.n <= most_bytes:
+            total += r.n
+            out.append((r.text, r.y))
+    return out

@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from stratacell.llm import byte_cnn, lm_score, quality_rules, registry, textkit, toxicity
+from stratacell.llm import byte_cnn, lm_score, quality_rules, registry, samples, textkit, toxicity
 
 from .conftest import NON_SPACE, SF
 
@@ -132,6 +132,17 @@ def test_language_model_cells_grow_with_the_corpus(spark, monkeypatch):
     assert all((r.difference < 0) == (r.doc_id % 2 == 0) for r in rows)
 
 
+def test_a_very_long_text_does_not_end_the_sample(spark):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    for long in (0, 7, 21):
+        docs = spark.createDataFrame([(i, "x" * (5000 if i == long else 100 + i)) for i in range(40)], "doc_id long, text string")
+        texts = samples.labelled_texts(docs, labels, "toxic", 100, most_bytes=4900)
+        assert sorted((len(t) - 100, y) for t, y in texts) == [(i, i % 2) for i in range(40) if i != long]
+    with pytest.raises(ValueError):
+        samples.labelled_texts(docs, labels.where("doc_id = 21"), "toxic", 100, most_bytes=4900)
+    assert samples.labelled_texts(docs, labels.limit(0), "toxic", 100) == []
+
+
 def accuracy(query, label, spark, tables):
     labels = {r.doc_id: r[label] for r in tables("labels").collect()}
     rows = [(r.predicted, labels[r.doc_id]) for r in query(spark, SF).collect() if r.held_out and r.doc_id in labels]
