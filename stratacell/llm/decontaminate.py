@@ -202,16 +202,22 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The documents that are not contaminated, with all their columns. Removal is row by row, so rows
-    that share an id, or have none, are judged by their own text."""
+    """The documents that benchmark text does not affect, with all their columns.
+
+    A document goes if it holds a verbatim match of ``window`` words or more, however long it is itself, or
+    if items shorter than that cover a twentieth of its words. Rows are judged one by one by their own
+    text, so rows may share an id or have none; rows with null or empty texts stay. Columns may have any
+    name.
+    """
     blocks = benchmark_blocks(documents.sparkSession, benchmark, window=window)
 
     def run(batches):
         loaders = _loaders(blocks)
         for batch in batches:
             for piece in tk.pieces(tk.take(batch, "text")):
-                n_words, n_hit, _, _ = _shard(piece, loaders)
-                keep = ~((n_hit > 0) & (20 * n_hit >= n_words))
+                n_words, n_hit, _, best = _shard(piece, loaders)
+                longest = np.array([b[0] for b in best], np.int64)
+                keep = (longest < window) & ~((n_hit > 0) & (20 * n_hit >= n_words))
                 yield batch.slice(piece.first, piece.n).filter(pa.array(keep))
 
     return documents.mapInArrow(run, documents.schema)
