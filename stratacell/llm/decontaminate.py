@@ -1,13 +1,15 @@
 """Benchmark decontamination by suffix arrays over training shards.
 
-Each task cuts its texts into shards of bounded size and builds, for each, an array of the word suffixes
-in lexicographic order of word hashes. Every benchmark suffix that begins a window is binary-searched in
-it; the range found is the list of locations, and runs along a diagonal are the longest verbatim
-matches. Suffixes whose first words begin no benchmark window cannot be in any such range and are left
-out before sorting, so the work of sorting follows the overlap and not the corpus.
+Each task cuts its texts into shards of bounded size and builds, for each, an array of its word suffixes in
+lexicographic order of word hashes. Every benchmark suffix that begins a window is binary-searched in it:
+the range of suffixes that begin with the window is the list of its locations. From each location the
+longest verbatim match is found among the benchmark's own suffixes, which are sorted too. Suffixes are
+compared to their ends by hashes of prefixes. Shard suffixes whose first words begin no benchmark window
+cannot be in any range and are left out before sorting, so the work of sorting follows the overlap.
 
 There is no shuffle: documents stay where they were read. The benchmark travels in blocks of at most
-``BLOCK_BYTES`` of text, each a broadcast of its own which a task holds one at a time.
+``BLOCK_BYTES`` of text, each a broadcast of its own of about twice that size. A task gathers
+``ROUND_BYTES`` of text, and holds one block at a time against it.
 """
 
 from __future__ import annotations
@@ -24,9 +26,10 @@ from pyspark.sql import functions as F
 from . import textkit as tk
 
 WINDOW = 13
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES, ROUND_BYTES = 16 << 20, 16 << 20
 HEAD = 4
-_BITS = 22
+#: Words that one step of sorting looks at, and pairs of documents and items that are named at a time.
+_STEP, _NAMED = 8, 1 << 20
 
 SCHEMA = (
     "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, "
@@ -34,139 +37,265 @@ SCHEMA = (
 )
 
 
+class Suffixes:
+    """Suffixes of word sequences: each begins at ``start`` and stops before ``stop``."""
+
+    def __init__(self, words: np.ndarray, start: np.ndarray, stop: np.ndarray):
+        self.words, self.start, self.stop = words, start, stop
+        self.prefix = np.zeros(len(words) + 1, tk.U64)
+        np.cumsum(words * tk._power_table(tk.BASE, len(words)), dtype=tk.U64, out=self.prefix[1:])
+        self.order = np.zeros(0, np.int64)
+
+    def sort(self, limit: int) -> None:
+        """Puts ``order`` into lexicographic order of the first ``limit`` words; an end comes before any word."""
+        n = len(self.start)
+        rank, pending, depth = np.zeros(n, np.int64), np.arange(n), 0
+        while len(pending) and depth < limit:
+            keys = np.zeros((len(pending), 1 + _STEP), ">u8")
+            keys[:, 0] = rank[pending]
+            for j in range(_STEP):
+                at = self.start[pending] + depth + j
+                inside = at < self.stop[pending]
+                keys[inside, 1 + j] = self.words[at[inside]]
+            flat = keys.reshape(-1).view(f"S{8 * (1 + _STEP)}")
+            order = np.argsort(flat, kind="stable")
+            flat, pending = flat[order], pending[order]
+            new, group = np.ones(len(flat), bool), np.ones(len(flat), bool)
+            new[1:] = flat[1:] != flat[:-1]
+            old = rank[pending]
+            group[1:] = old[1:] != old[:-1]
+            begin = lambda mark: np.maximum.accumulate(np.where(mark, np.arange(len(mark)), 0))
+            rank[pending] = old + begin(new) - begin(group)
+            tied = ~new | ~np.append(new[1:], True)
+            depth += _STEP
+            pending = pending[tied & (self.start[pending] + depth < self.stop[pending])]
+        self.order = np.argsort(rank, kind="stable")
+
+    def take(self, which: np.ndarray) -> Suffixes:
+        out = Suffixes.__new__(Suffixes)
+        out.words, out.prefix, out.start, out.stop = self.words, self.prefix, self.start[which], self.stop[which]
+        return out
+
+    def word(self, offset: np.ndarray) -> np.ndarray:
+        """Each suffix's word at its offset, 0 at its end."""
+        at = self.start + offset
+        inside = at < self.stop
+        return np.where(inside, self.words[np.where(inside, at, 0)], tk.U64(0)) if len(self.words) else np.zeros(len(at), tk.U64)
+
+
+def common(a: Suffixes, b: Suffixes, most: np.ndarray | int | None = None) -> np.ndarray:
+    """How many first words the pairs of suffixes share, ``most`` at most."""
+    limit = np.minimum(a.stop - a.start, b.stop - b.start)
+    if most is not None:
+        limit = np.minimum(limit, most)
+    power = tk._power_table(tk.BASE, max(len(a.words), len(b.words)) + 1)
+    out, step = np.zeros(len(limit), np.int64), 1 << int(limit.max(initial=0)).bit_length()
+    while step:
+        n = np.minimum(out + step, limit)
+        x = (a.prefix[a.start + n] - a.prefix[a.start]) * power[b.start]
+        y = (b.prefix[b.start + n] - b.prefix[b.start]) * power[a.start]
+        out = np.where((out + step <= limit) & (x == y), out + step, out)
+        step >>= 1
+    return out
+
+
+def bisect(queries: Suffixes, array: Suffixes, most: np.ndarray, right: bool) -> np.ndarray:
+    """Where the first ``most`` words of each query belong in a sorted array: before the suffixes that begin
+    with them, or, with ``right``, behind."""
+    low, high = np.zeros(len(queries.start), np.int64), np.full(len(queries.start), len(array.order))
+    while True:
+        open_ = np.flatnonzero(low < high)
+        if not len(open_):
+            return low
+        mid = (low[open_] + high[open_]) // 2
+        own, other = queries.take(open_), array.take(array.order[mid])
+        n = common(own, other, most[open_])
+        less = np.where(n >= most[open_], right, other.word(n) < own.word(n))
+        low[open_[less]] = mid[less] + 1
+        high[open_[~less]] = mid[~less]
+
+
+def _slot(columns, bits: int) -> np.ndarray:
+    out = None
+    for j, c in enumerate(columns):
+        out = c * tk.NGRAM[j] if out is None else out + c * tk.NGRAM[j]
+    return (tk.mix(out) >> tk.U64(64 - bits)).astype(np.int64)
+
+
 class BenchmarkBlock:
-    """Windows of some benchmark items, ready for binary search."""
+    """The suffixes of some benchmark items that begin a window, sorted. Word hashes and the order travel;
+    what follows from them is made where the block arrives."""
 
     def __init__(self, items: list[tuple[str, str]], window: int = WINDOW):
         self.window, self.names = window, [k for k, _ in items]
-        hashes, owner, begin = [], [], []
-        column = pa.array([t for _, t in items], pa.large_string())
-        for piece in tk.pieces(column):
+        parts, sizes = [], []
+        for piece in tk.pieces(pa.array([t for _, t in items], pa.large_string())):
             start, end, text = piece.words(tk.ALNUM)
-            h = piece.span_hash(piece.prefix(tk.FOLDED_VALUES), start, end)
-            bounds = tk.group_bounds(text, piece.n)
-            for i in range(piece.n):
-                own = h[bounds[i] : bounds[i + 1]]
-                for j in range(max(1, len(own) - window + 1) if len(own) else 0):
-                    hashes.append(own[j : j + window])
-                    owner.append(piece.first + i)
-                    begin.append(j)
-        self.length = np.array([len(x) for x in hashes], np.int64)
-        self.owner, self.begin = np.array(owner, np.int64), np.array(begin, np.int64)
-        self.head = int(min(HEAD, self.length.min())) if len(hashes) else HEAD
-        low, high = np.zeros((len(hashes), window), ">u8"), np.full((len(hashes), window), 2**64 - 1, ">u8")
-        self.bitmap = np.zeros(1 << _BITS, bool)
-        for i, x in enumerate(hashes):
-            low[i, : len(x)] = high[i, : len(x)] = x
-        key = low.tobytes()
-        width = window * 8
-        distinct: dict[bytes, int] = {}
-        self.group = np.array([distinct.setdefault(key[i * width : (i + 1) * width], len(distinct)) for i in range(len(hashes))], np.int64)
-        first = np.unique(self.group, return_index=True)[1] if len(hashes) else np.zeros(0, np.int64)
-        self.low, self.high = (x[first].reshape(-1).view(f"S{width}") if len(first) else np.zeros(0, f"S{width}") for x in (low, high))
-        self.group_length = self.length[first]
-        self.order = np.argsort(self.group, kind="stable")
-        self.of_group = np.searchsorted(self.group[self.order], np.arange(len(first) + 1))
-        if len(hashes):
-            heads = np.array([x[: self.head] for x in hashes], tk.U64)
-            self.bitmap[self._slot(heads.T)] = True
-
-    @staticmethod
-    def _slot(columns) -> np.ndarray:
-        out = None
-        for j, c in enumerate(columns):
-            out = c * tk.NGRAM[j] if out is None else out + c * tk.NGRAM[j]
-        return (tk.mix(out) >> tk.U64(64 - _BITS)).astype(np.int64)
-
-    def search(self, words: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Position of a match and the number of the window found there, for all windows and places."""
-        n = len(words) - self.head + 1
-        none = np.zeros(0, np.int64)
-        if n <= 0 or not len(self.low):
-            return none, none
-        at = np.flatnonzero(self.bitmap[self._slot([words[j : n + j] for j in range(self.head)])])
-        if not len(at):
-            return none, none
-        matrix = np.zeros((len(at), self.window), ">u8")
-        padded, owner = np.append(words, np.zeros(self.window, tk.U64)), np.append(text, np.full(self.window, -1))
-        for j in range(self.window):
-            matrix[:, j] = np.where(owner[at + j] == text[at], padded[at + j], 0)
-        keys = matrix.reshape(-1).view(f"S{self.window * 8}")
-        order = np.argsort(keys, kind="stable")
-        suffixes, keys = at[order], keys[order]
-        first, last = np.searchsorted(keys, self.low, "left"), np.searchsorted(keys, self.high, "right")
-        found = np.flatnonzero(last > first)
-        counts = (last - first)[found]
-        group = np.repeat(found, counts)
-        offset = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-        return suffixes[np.repeat(first[found], counts) + offset], group
-
-
-def _shard(piece: tk.Piece, blocks: list) -> tuple:
-    start, end, text = piece.words(tk.ALNUM)
-    words = piece.span_hash(piece.prefix(tk.FOLDED_VALUES), start, end)
-    bounds = tk.group_bounds(text, piece.n)
-    cover = np.zeros(len(words) + 1, np.int64)
-    items: list[set[str]] = [set() for _ in range(piece.n)]
-    best: list[tuple[int, str, int]] = [(0, "", 0)] * piece.n
-    for load in blocks:
-        block: BenchmarkBlock = load()
-        at, group = block.search(words, text)
+            parts.append(piece.span_hash(piece.prefix(tk.FOLDED_VALUES), start, end))
+            sizes.append(np.diff(tk.group_bounds(text, piece.n)))
+        self.words = np.concatenate(parts) if parts else np.zeros(0, tk.U64)
+        self.size = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
+        self._derive()
+        self.suffixes.sort(int(self.size.max(initial=0)))
+        self.order = self.suffixes.order.astype(np.int32)
+        self._group()
+
+    def __getstate__(self) -> dict:
+        return {k: self.__dict__[k] for k in ("window", "names", "words", "size", "order")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self._derive()
+        self.suffixes.order = self.order.astype(np.int64)
+        self._group()
+
+    def _derive(self) -> None:
+        begin = np.cumsum(self.size) - self.size
+        windows = np.where(self.size > 0, np.maximum(1, self.size - self.window + 1), 0)
+        self.owner = np.repeat(np.arange(len(self.size)), windows)
+        start = np.repeat(begin, windows) + np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
+        self.suffixes = Suffixes(self.words, start, (begin + self.size)[self.owner])
+
+    def _group(self) -> None:
+        """Equal windows stand in a row of the order: a group."""
+        s = self.suffixes
+        need = np.minimum(s.stop - s.start, self.window)[s.order]
+        new = np.ones(len(need), bool)
+        if len(need) > 1:
+            shared = common(s.take(s.order[1:]), s.take(s.order[:-1]), self.window)
+            new[1:] = (need[1:] != need[:-1]) | (shared < need[1:])
+        self.first = np.append(np.flatnonzero(new), len(need))
+        self.need = need[self.first[:-1]]
+        self.windows = s.take(s.order[self.first[:-1]])
+        self.longest = int(self.size.max(initial=0))
+        self.head = int(min(HEAD, self.need.min(initial=HEAD)))
+        self.bits = min(26, max(16, 3 + len(need).bit_length()))
+        self.heads = _slot([self.words[self.windows.start + j] for j in range(self.head)], self.bits)
+        self.bitmap = np.zeros(1 << self.bits, bool)
+        self.bitmap[self.heads] = True
+
+
+class Shard:
+    """The words of a piece and what the blocks met in them."""
+
+    def __init__(self, piece: tk.Piece):
+        start, end, text = piece.words(tk.ALNUM)
+        self.words = piece.span_hash(piece.prefix(tk.FOLDED_VALUES), start, end)
+        self.text, self.bounds = text.astype(np.int32), tk.group_bounds(text, piece.n)
+        self.cover = np.zeros(len(self.words) + 1, np.int32)
+        self.items: dict[int, set[str]] = {}
+        self.best: dict[int, tuple[int, int, str]] = {}
+
+    def meet(self, block: BenchmarkBlock) -> None:
+        n = len(self.words) - block.head + 1
+        if n <= 0 or not len(block.need):
+            return
+        slot = _slot([self.words[j : n + j] for j in range(block.head)], block.bits)
+        at = np.flatnonzero(block.bitmap[slot])
         if not len(at):
-            continue
-        np.add.at(cover, at, 1)
-        np.add.at(cover, at + block.group_length[group], -1)
-        counts = block.of_group[group + 1] - block.of_group[group]
-        offset = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-        entry = block.order[np.repeat(block.of_group[group], counts) + offset]
-        place = np.repeat(at, counts)
-        diagonal = place - block.begin[entry]
-        order = np.lexsort((place, diagonal, block.owner[entry], text[place]))
-        place, owner, diagonal, length = place[order], block.owner[entry][order], diagonal[order], block.length[entry][order]
-        doc = text[place]
-        new = np.ones(len(place), bool)
-        new[1:] = (doc[1:] != doc[:-1]) | (owner[1:] != owner[:-1]) | (diagonal[1:] != diagonal[:-1]) | (place[1:] != place[:-1] + 1)
-        heads = np.flatnonzero(new)
-        tails = np.append(heads[1:], len(place)) - 1
-        for h, t in zip(heads.tolist(), tails.tolist()):
-            d, name = int(doc[h]), block.names[owner[h]]
-            items[d].add(name)
-            run = (int(place[t] + length[t] - place[h]), name, int(place[h] - bounds[d]))
-            if (-run[0], run[2], run[1]) < (-best[d][0], best[d][2], best[d][1]):
-                best[d] = run
-    hit = np.append(0, np.cumsum(np.cumsum(cover[:-1]) > 0))
-    return np.diff(bounds), hit[bounds[1:]] - hit[bounds[:-1]], items, best
-
-
-def match_batches(batches: Iterator[pa.RecordBatch], blocks: list) -> Iterator[pa.RecordBatch]:
+            return
+        suffixes = Suffixes(self.words, at, self.bounds[self.text[at] + 1])
+        suffixes.sort(block.longest)
+        present = np.zeros(1 << block.bits, bool)
+        present[slot[at]] = True
+        asked = np.flatnonzero(present[block.heads])
+        windows, need = block.windows.take(asked), block.need[asked]
+        low, high = bisect(windows, suffixes, need, False), bisect(windows, suffixes, need, True)
+        count = high - low
+        group = np.repeat(asked, count)
+        place = at[suffixes.order[np.repeat(low, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)]]
+        if len(place):
+            np.add.at(self.cover, place, 1)
+            np.add.at(self.cover, place + block.need[group], -1)
+            self._name(block, place, group)
+            self._extend(block, place, group)
+
+    def _name(self, block: BenchmarkBlock, place: np.ndarray, group: np.ndarray) -> None:
+        """Adds the items of each document's windows, some at a time."""
+        pairs = np.unique(np.stack([self.text[place].astype(np.int64), group]), axis=1)
+        until = np.cumsum(block.first[pairs[1] + 1] - block.first[pairs[1]])
+        for k in range(int(until[-1]) // _NAMED + 1):
+            doc, g = pairs[:, (until > k * _NAMED) & (until <= (k + 1) * _NAMED)]
+            count = block.first[g + 1] - block.first[g]
+            entry = np.repeat(block.first[g], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            both = np.unique(np.stack([np.repeat(doc, count), block.owner[block.suffixes.order[entry]]]), axis=1)
+            for d, owner in both.T.tolist():
+                self.items.setdefault(d, set()).add(block.names[owner])
+
+    def _extend(self, block: BenchmarkBlock, place: np.ndarray, group: np.ndarray) -> None:
+        """Each document's longest match from one of the places on: as far as a benchmark suffix goes along, or,
+        if that is less than a window, the longest of the short items found there."""
+        order = np.lexsort((-block.need[group], place))
+        first = order[np.append(True, place[order][1:] != place[order][:-1])]
+        place, group = place[first], group[first]
+        found = Suffixes(self.words, place, self.bounds[self.text[place] + 1])
+        tests = block.suffixes
+        at = bisect(found, tests, np.full(len(place), block.longest), False)
+        after, before = np.minimum(at, len(tests.order) - 1), np.maximum(at - 1, 0)
+        length = np.maximum(common(found, tests.take(tests.order[after])), common(found, tests.take(tests.order[before])))
+        length = np.where(length >= block.window, length, block.need[group])
+        doc = self.text[place]
+        order = np.lexsort((place, -length, doc))
+        top = order[np.append(True, doc[order][1:] != doc[order][:-1])]
+        own = found.take(top)
+        low, high = bisect(own, tests, length[top], False), bisect(own, tests, length[top], True)
+        short = length[top] < block.window
+        low, high = np.where(short, block.first[group[top]], low), np.where(short, block.first[group[top] + 1], high)
+        for d, n, p, a, b in zip(doc[top].tolist(), length[top].tolist(), place[top].tolist(), low.tolist(), high.tolist()):
+            name = min(block.names[x] for x in np.unique(block.owner[tests.order[a:b]]).tolist())
+            run = (-n, p - int(self.bounds[d]), name)
+            self.best[d] = min(run, self.best.get(d, run))
+
+    def result(self) -> tuple[np.ndarray, np.ndarray]:
+        """Words of each text and those that a window covers."""
+        hit = np.append(0, np.cumsum(np.cumsum(self.cover[:-1]) > 0))
+        return np.diff(self.bounds), hit[self.bounds[1:]] - hit[self.bounds[:-1]]
+
+
+def _rounds(batches: Iterator[pa.RecordBatch], blocks: list[Broadcast]) -> Iterator[tuple[pa.RecordBatch, Shard]]:
+    """Slices of the batches with their shards, which have met every block. One block stays loaded; of
+    several, each is read from its broadcast file once a round, so that a task holds one at a time."""
+    waiting, held = [], 0
+
+    def meet() -> None:
+        for handle in blocks:
+            block: BenchmarkBlock = handle.value if len(blocks) == 1 else handle.load_from_path(handle._path)
+            for _, shard in waiting:
+                shard.meet(block)
+
     for batch in batches:
-        ids = tk.take(batch, "doc_id")
         for piece in tk.pieces(tk.take(batch, "text")):
-            n_words, n_hit, items, best = _shard(piece, blocks)
-            names = [sorted(x) for x in items]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    ids.slice(piece.first, piece.n),
-                    pa.array(n_words, pa.int64()),
-                    pa.array(n_hit, pa.int64()),
-                    pa.array([len(x) for x in names], pa.int64()),
-                    pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in names], pa.string()),
-                    pa.array((n_hit > 0) & (20 * n_hit >= n_words), pa.bool_()),
-                    pa.array(names, pa.list_(pa.string())),
-                    pa.array([b[0] for b in best], pa.int64()),
-                    pa.array([b[1] if b[0] else None for b in best], pa.string()),
-                    pa.array([b[2] if b[0] else None for b in best], pa.int64()),
-                ],
-                names=[x.split()[0] for x in SCHEMA.split(", ")],
-            )
-
-
-def _loaders(handles: list[Broadcast]) -> list:
-    """One block is kept; of several, each is read from its broadcast file when its turn comes, so that a
-    task holds one at a time."""
-    if len(handles) == 1:
-        return [lambda: handles[0].value]
-    return [lambda h=h: h.load_from_path(h._path) for h in handles]
+            waiting.append((batch.slice(piece.first, piece.n), Shard(piece)))
+            held += len(piece.buf)
+            if held >= ROUND_BYTES:
+                meet()
+                yield from waiting
+                waiting, held = [], 0
+    meet()
+    yield from waiting
+
+
+def match_batches(batches: Iterator[pa.RecordBatch], blocks: list[Broadcast]) -> Iterator[pa.RecordBatch]:
+    for batch, shard in _rounds(batches, blocks):
+        n_words, n_hit = shard.result()
+        docs = range(batch.num_rows)
+        names = [sorted(shard.items.get(d, ())) for d in docs]
+        best = [shard.best.get(d, (0, None, None)) for d in docs]
+        yield pa.RecordBatch.from_arrays(
+            [
+                tk.take(batch, "doc_id"),
+                pa.array(n_words, pa.int64()),
+                pa.array(n_hit, pa.int64()),
+                pa.array([len(x) for x in names], pa.int64()),
+                pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in names], pa.string()),
+                pa.array((n_hit > 0) & (20 * n_hit >= n_words), pa.bool_()),
+                pa.array(names, pa.list_(pa.string())),
+                pa.array([-b[0] for b in best], pa.int64()),
+                pa.array([b[2] for b in best], pa.string()),
+                pa.array([b[1] for b in best], pa.int64()),
+            ],
+            names=[x.split()[0] for x in SCHEMA.split(", ")],
+        )
 
 
 def benchmark_blocks(spark: SparkSession, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES, window: int = WINDOW) -> list[Broadcast]:
@@ -190,13 +319,14 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
 
     A null or empty text has no words and no hits. An item without id, text or words is never found.
     Items of fewer than ``window`` words are one window. Repeated rows each get a row; extra columns of
-    either table are not read. ``longest_*``: the longest verbatim match (ties: the earliest, then the
-    smallest item id), null without one.
+    either table are not read. ``longest_*``: the longest verbatim match that begins with a window (0 and
+    nulls without one), the word it starts at and its item; of equally long ones the earliest, then that
+    of the smallest item id as text.
     """
     blocks = benchmark_blocks(documents.sparkSession, benchmark, window=window)
 
     def run(batches):
-        return match_batches(batches, _loaders(blocks))
+        return match_batches(batches, blocks)
 
     return documents.select("doc_id", "text").mapInArrow(run, SCHEMA)
 
@@ -212,12 +342,9 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     blocks = benchmark_blocks(documents.sparkSession, benchmark, window=window)
 
     def run(batches):
-        loaders = _loaders(blocks)
-        for batch in batches:
-            for piece in tk.pieces(tk.take(batch, "text")):
-                n_words, n_hit, _, best = _shard(piece, loaders)
-                longest = np.array([b[0] for b in best], np.int64)
-                keep = (longest < window) & ~((n_hit > 0) & (20 * n_hit >= n_words))
-                yield batch.slice(piece.first, piece.n).filter(pa.array(keep))
+        for batch, shard in _rounds(batches, blocks):
+            n_words, n_hit = shard.result()
+            longest = np.array([-shard.best.get(d, (0,))[0] for d in range(batch.num_rows)], np.int64)
+            yield batch.filter(pa.array((longest < window) & ~((n_hit > 0) & (20 * n_hit >= n_words))))
 
     return documents.mapInArrow(run, documents.schema)
