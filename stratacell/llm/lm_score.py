@@ -2,111 +2,260 @@
 
 Two bigram models with the same vocabulary, order and smoothing: a target model counted on trusted
 documents and a background model counted on the whole corpus. A document's score is the mean, over its
-tokens, of the target's loss less the background's; the lower, the more it resembles the target.
-The vocabulary is a number of word hashes, and word pairs share cells; both numbers are powers of two
-that grow in proportion to the bytes of the corpus, so that cells do not fill up with collisions. Tasks
-send counts of filled cells, and every row and every trusted document is counted.
+tokens, of the target's loss less the background's; the lower, the more it resembles the target. No model
+counts the document that it scores: its own counts are taken off first.
+
+Neither model is ever in one place. Texts are gathered into bundles of bounded size, and a bundle sends each
+word and word pair that it holds, once, with its counts, to one of the slices of the vocabulary; the slice
+sums them up and sends each bundle the sums of what it holds. Words and pairs are told apart by hashes whose
+bits grow with the corpus, and so does the number of slices; so a task holds a bundle or a slice, whatever the
+size of the corpus.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import counts, samples
+from . import samples
 from . import textkit as tk
+from .scratch import Scratch
 
-#: The least bits of a word's and a pair's cell, and the bytes of corpus for each cell beyond that.
-WORD_BITS, PAIR_BITS = 16, 20
-WORD_CELL_BYTES, PAIR_CELL_BYTES = 256, 64
+#: Bytes of text of a bundle (a longer one alone), and of corpus for each slice of the vocabulary.
+BUNDLE_BYTES, SLICE_BYTES = 8 << 20, 16 << 20
+LEAST_SLICES = 16
 #: Pseudo-tokens of each context that follow the unigram, and its share that goes to all words alike.
 PAIR_PRIOR, UNIFORM = 20.0, 0.05
-LENGTH = (1 << WORD_BITS) + (1 << PAIR_BITS)
 
 
-def cell_bits(n_bytes: int) -> tuple[int, int]:
-    """Bits of a word's and of a pair's cell for a corpus of so many bytes."""
-    return max(WORD_BITS, (n_bytes // WORD_CELL_BYTES).bit_length()), max(PAIR_BITS, (n_bytes // PAIR_CELL_BYTES).bit_length())
+def hash_bits(n_bytes: int) -> int:
+    """Bits of a word's or pair's hash for a corpus of so many bytes: a million values for each byte."""
+    return min(63, max(40, n_bytes.bit_length() + 20))
+
+
+def pack(x: np.ndarray) -> bytes:
+    """An array, byte planes apart, compressed: the high bytes of small numbers take no room."""
+    return zlib.compress(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes(), 1)
+
+
+def unpack(blob: bytes, kind) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    planes = np.frombuffer(zlib.decompress(blob), np.uint8).reshape(size, -1)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
+
+
+def pack_sorted(x: np.ndarray) -> bytes:
+    return pack(np.diff(x, prepend=x.dtype.type(0)))
+
+
+def unpack_sorted(blob: bytes) -> np.ndarray:
+    return np.cumsum(unpack(blob, "<u8"), dtype=np.uint64)
 
 
-def tokens(piece: tk.Piece, word_bits: int = WORD_BITS, pair_bits: int = PAIR_BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Word, cell of the pair with the word before (or the text's begin), that word, and text of each token."""
+class Tokens:
+    """Word hashes of some texts, in a row. ``text``: each token's text; ``first``: whether it is its first."""
+
+    def __init__(self, words: np.ndarray, lengths: np.ndarray, bits: int):
+        self.lengths, self.bits = lengths, bits
+        self.text = np.repeat(np.arange(len(lengths)), lengths)
+        self.first = np.zeros(len(words), bool)
+        self.first[(np.cumsum(lengths) - lengths)[lengths > 0]] = True
+        self.vocabulary, self.word = np.unique(words, return_inverse=True)
+        before = np.where(self.first, tk.U64(0), np.append(tk.U64(0), words[:-1]))
+        hashes = tk.mix(before * tk.NGRAM[7] + words * tk.NGRAM[8]) >> tk.U64(64 - bits)
+        self.pairs, self.pair = np.unique(hashes, return_inverse=True)
+
+
+def words_of(piece: tk.Piece, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes of a piece's texts, without case of A-Z, and how many each text has."""
     start, end, text = piece.words(tk.NON_SPACE)
-    word = (tk.mix(piece.span_hash(piece.prefix(tk.FOLDED_VALUES), start, end)) >> tk.U64(64 - word_bits)).astype(np.int64)
-    before = np.zeros(len(word), np.int64)
-    before[1:] = np.where(text[1:] == text[:-1], word[:-1], 0)
-    cell = tk.mix(before.astype(tk.U64) * tk.NGRAM[7] + word.astype(tk.U64) * tk.NGRAM[8]) >> tk.U64(64 - pair_bits)
-    return word, cell.astype(np.int64), before, text
+    hashes = tk.mix(piece.span_hash(piece.prefix(tk.FOLDED_VALUES), start, end)) >> tk.U64(64 - bits)
+    return hashes, np.bincount(text, minlength=piece.n)
 
 
-class Model:
-    """A bigram model, interpolated with its unigram and a uniform one. ``size``: the tokens that the
-    counts are scaled to, so that two models are smoothed alike."""
+#: ``sizes``: tokens and texts with tokens, of all and of trusted documents.
+ROWS = "bundle long, slice int, words int, grams binary, counts binary, target binary, payload binary, sizes array<long>"
 
-    def __init__(self, count: np.ndarray, size: float | None = None, word_bits: int = WORD_BITS):
-        words = 1 << word_bits
-        total = float(count[:words].sum(dtype=np.float64))
-        scale = np.float32(size / total if size and total else 1.0)
-        self.word = (count[:words] * scale).astype(np.float32, copy=False)
-        self.pair = (count[words:] * scale).astype(np.float32, copy=False)
-        self.total = size if size and total else total
-        self.bits = word_bits, len(self.pair).bit_length() - 1
 
-    def loss(self, word: np.ndarray, cell: np.ndarray, before: np.ndarray) -> np.ndarray:
-        single = (1 - UNIFORM) * self.word[word] / max(self.total, 1.0) + UNIFORM / len(self.word)
-        return -np.log((np.minimum(self.pair[cell], self.word[before]) + PAIR_PRIOR * single) / (self.word[before] + PAIR_PRIOR))
+def _slice_bounds(slices: int, bits: int) -> np.ndarray:
+    return np.array([(k << bits) // slices for k in range(slices)] + [1 << bits], np.uint64)
 
 
-def _count(bits: tuple[int, int], vector: int):
-    length = (1 << bits[0]) + (1 << bits[1])
-    kind = np.uint32 if length <= 1 << 32 else np.int64
+def _bundles(bits: int, slices: int, bundle_bytes: int):
+    """For each bundle a row of its texts as token numbers, and a row for each slice with the distinct words,
+    then pairs, that it holds, and how often all and trusted documents hold them."""
+    names = [x.split()[0] for x in ROWS.split(", ")]
+    bounds = _slice_bounds(slices, bits)
 
-    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-        for batch in batches:
-            for piece in tk.pieces(tk.take(batch, "text")):
-                word, cell, _, _ = tokens(piece, *bits)
-                yield np.concatenate([word, cell + (1 << bits[0])]).astype(kind)
+    def close(number: int, ids: pa.Array, trusted: np.ndarray, words: np.ndarray, lengths: np.ndarray) -> pa.RecordBatch:
+        t = Tokens(words, lengths, bits)
+        weight = trusted[t.text].astype(float)
+        cuts = [np.searchsorted(x, bounds) for x in (t.vocabulary, t.pairs)]
+        counts = [np.bincount(x, minlength=len(v)).astype("<u4") for x, v in ((t.word, t.vocabulary), (t.pair, t.pairs))]
+        target = [np.bincount(x, weight, minlength=len(v)).astype("<u4") for x, v in ((t.word, t.vocabulary), (t.pair, t.pairs))]
+        rows = []
+        for k in range(slices):
+            a, b = (slice(int(c[k]), int(c[k + 1])) for c in cuts)
+            if a.stop > a.start or b.stop > b.start:
+                grams = pack_sorted(t.vocabulary[a]), pack_sorted(t.pairs[b])
+                both = [pack(np.append(x[0][a], x[1][b])) for x in (counts, target)]
+                rows.append((number, k, a.stop - a.start, len(grams[0]).to_bytes(4, "little") + b"".join(grams), *both, None, None))
+        keys = ids.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8"), ids.is_null().to_numpy(zero_copy_only=False)
+        parts = [pack(x) for x in (*keys, trusted, lengths.astype("<u4"), t.word.astype("<u4"))] + [pack_sorted(t.vocabulary)]
+        head = np.array([len(keys[0]), *map(len, parts)], "<u4").tobytes()
+        full = lengths > 0
+        sizes = [int(x) for x in (lengths.sum(), full.sum(), lengths[trusted].sum(), (full & trusted).sum())]
+        rows.append((number, -1, 0, None, None, None, head + b"".join(parts), sizes))
+        columns = list(zip(*rows))
+        kinds = [pa.int64(), pa.int32(), pa.int32()] + [pa.binary()] * 4 + [pa.list_(pa.int64())]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from counts.filled(cells(batches), length, vector)
+        number, held, parts = TaskContext.get().partitionId() << 32, 0, []
+
+        def close_parts() -> pa.RecordBatch:
+            ids, *others = zip(*parts)
+            return close(number, pa.concat_arrays(ids), *map(np.concatenate, others))
+
+        for batch in batches:
+            ids = tk.take(batch, "doc_id").cast(pa.int64())
+            trusted = tk.take(batch, "trusted").to_numpy(zero_copy_only=False).astype(bool)
+            for piece in tk.pieces(tk.take(batch, "text"), min(tk.PIECE_BYTES, bundle_bytes)):
+                own = slice(piece.first, piece.first + piece.n)
+                parts.append((ids.slice(piece.first, piece.n), trusted[own], *words_of(piece, bits)))
+                held += len(piece.buf)
+                if held >= bundle_bytes:
+                    yield close_parts()
+                    number, held, parts = number + 1, 0, []
+        if parts:
+            yield close_parts()
 
     return run
 
 
-def fit(documents: DataFrame, labels: DataFrame) -> tuple[Model, Model]:
-    """(target, background). The background counts every row; the target every document with label
-    ``quality`` 1, and the background itself where there is none; the background is scaled to its size."""
-    bits = cell_bits(documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
-    parts = [documents.select("doc_id", "text"), samples.of_trusted(documents, labels)]
-    partial = [x.mapInArrow(_count(bits, k), counts.FILLED) for k, x in enumerate(parts)]
-    background, target = counts.gather_filled(partial[0].unionByName(partial[1]), (1 << bits[0]) + (1 << bits[1]), 2)
-    model = Model(target if target.any() else background, word_bits=bits[0])
-    return model, Model(background, model.total, bits[0])
+TOTALS = "bundle long, slice int, words int, counts binary, target binary"
+
+
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each bundle and slice the corpus sums of what the bundle holds, in the order it came in; and for
+    each slice a row without bundle with the number of its distinct words. Rows come ordered by slice."""
+    names = [x.split()[0] for x in TOTALS.split(", ")]
+
+    def finish(number: int, rows: list[tuple]) -> pa.RecordBatch:
+        out = [[], []]
+        for kind in range(2):  # words, pairs
+            grams = np.concatenate([r[1][kind] for r in rows])
+            values, inverse = np.unique(grams, return_inverse=True)
+            for k in range(2):  # all, trusted
+                total = np.bincount(inverse, np.concatenate([r[2 + k][kind] for r in rows]), minlength=len(values)).astype("<u8")[inverse]
+                out[k].append(np.split(total, np.cumsum([len(r[1][kind]) for r in rows])[:-1]))
+        words = len(np.unique(np.concatenate([r[1][0] for r in rows])))
+        columns = [pa.array([r[0] for r in rows] + [None], pa.int64()), pa.array([number] * (len(rows) + 1), pa.int32()), pa.array([len(r[1][0]) for r in rows] + [words], pa.int32())]
+        columns += [pa.array([pack(np.append(a, b)) for a, b in zip(*x)] + [None], pa.binary()) for x in out]
+        return pa.RecordBatch.from_arrays(columns, names=names)
+
+    slice_, rows = None, []
+    for batch in batches:
+        for bundle, k, n, grams, counts, target in zip(*(tk.take(batch, c).to_pylist() for c in ("bundle", "slice", "words", "grams", "counts", "target"))):
+            if k != slice_ and rows:
+                yield finish(slice_, rows)
+                rows = []
+            slice_ = k
+            size = int.from_bytes(grams[:4], "little")
+            both = unpack_sorted(grams[4 : 4 + size]), unpack_sorted(grams[4 + size :])
+            rows.append((bundle, both, *(np.split(unpack(x, "<u4"), [n]) for x in (counts, target))))
+    if rows:
+        yield finish(slice_, rows)
 
 
 SCHEMA = "doc_id long, n_tokens long, target_loss double, background_loss double, difference double, selected boolean"
 
 
-def score(documents: DataFrame, target: Model, background: Model, cut: float = 0.0) -> DataFrame:
-    """One row per document: tokens, mean losses in nats, their difference and whether it is at most ``cut``.
+class Sizes:
+    """Of all and of trusted documents: tokens and texts with tokens; and the words of the vocabulary."""
+
+    def __init__(self, tokens: tuple[int, int], texts: tuple[int, int], words: int):
+        self.tokens, self.texts, self.words = tokens, texts, words
+
+
+def losses(t: Tokens, counts: tuple[np.ndarray, np.ndarray], tokens: int, texts: int, words: int, scale: float, without: np.ndarray) -> np.ndarray:
+    """Each token's loss in nats under the model of these counts of the bundle's words and pairs, scaled.
+    ``without``: of these texts the own counts are taken off first."""
+    off = without[t.text].astype(float)
+    single, pair = (c[x] - off * own_counts(t, x, len(c)) for c, x in zip(counts, (t.word, t.pair)))
+    before = np.where(t.first, texts - off, np.append(0.0, single[:-1])) * scale
+    single, pair = single * scale, pair * scale
+    total = np.maximum((tokens - without * t.lengths) * scale, 1.0)[t.text]
+    base = (1 - UNIFORM) * single / total + UNIFORM / max(1, words)
+    return -np.log((np.minimum(pair, before) + PAIR_PRIOR * base) / (before + PAIR_PRIOR))
+
+
+def own_counts(t: Tokens, x: np.ndarray, n: int) -> np.ndarray:
+    """For each token, how often its text holds its word (or pair)."""
+    _, inverse, counts = np.unique(t.text * np.int64(max(1, n)) + x, return_inverse=True, return_counts=True)
+    return counts[inverse]
 
-    A null or empty text has no tokens, losses of 0 and is not selected. Ids may be null or repeat; other
-    columns are not read. Scoring shuffles nothing.
-    """
-    sent = documents.sparkSession.sparkContext.broadcast((target, background))  # a number for each cell, twice
+
+def _scores(sizes: Sizes, bits: int, cut: float):
+    """Rows come ordered by bundle and slice, a bundle's texts first."""
+
+    def finish(payload: bytes, rows: list[tuple]) -> pa.RecordBatch:
+        head = np.frombuffer(payload, "<u4", 7)
+        at, parts = 28 + np.append(0, np.cumsum(head[1:], dtype=np.int64)), []
+        for k, kind in enumerate(("<i8", np.bool_, np.bool_, "<u4", "<u4")):
+            parts.append(unpack(payload[at[k] : at[k + 1]], kind))
+        keys, empty, trusted, lengths, word = parts
+        t = Tokens(unpack_sorted(payload[at[5] : at[6]])[word], lengths.astype(np.int64), bits)
+        sums = [[np.concatenate([np.split(unpack(r[k], "<u8"), [r[0]])[kind] for r in rows] or [np.zeros(0)]).astype(float) for kind in range(2)] for k in (1, 2)]
+        n = np.maximum(t.lengths, 1)
+        everyone = np.ones(len(keys), bool)
+        scale = sizes.tokens[1] / sizes.tokens[0] if sizes.tokens[1] else 1.0
+        background = losses(t, sums[0], sizes.tokens[0], sizes.texts[0], sizes.words, scale, everyone)
+        target = losses(t, sums[1], sizes.tokens[1], sizes.texts[1], sizes.words, 1.0, trusted) if sizes.tokens[1] else background
+        a, b = (np.bincount(t.text, x, minlength=len(keys)) / n for x in (target, background))
+        columns = [pa.array(keys, mask=empty), pa.array(t.lengths), pa.array(a), pa.array(b), pa.array(a - b), pa.array((t.lengths > 0) & (a - b <= cut))]
+        return pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in SCHEMA.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models = sent.value
+        payload, rows = None, []
         for batch in batches:
-            ids = tk.take(batch, "doc_id")
-            for piece in tk.pieces(tk.take(batch, "text")):
-                word, cell, before, text = tokens(piece, *models[0].bits)
-                n = np.bincount(text, minlength=piece.n)
-                t, b = (np.bincount(text, m.loss(word, cell, before), minlength=piece.n) / np.maximum(n, 1) for m in models)
-                yield pa.RecordBatch.from_arrays([ids.slice(piece.first, piece.n), pa.array(n, pa.int64()), pa.array(t), pa.array(b), pa.array(t - b), pa.array((n > 0) & (t - b <= cut))], names=[x.split()[0] for x in SCHEMA.split(", ")])
-
-    return documents.select("doc_id", "text").mapInArrow(run, SCHEMA)
+            for own, words, counts, target in zip(*(tk.take(batch, c).to_pylist() for c in ("payload", "words", "counts", "target"))):
+                if own is not None:
+                    if payload is not None:
+                        yield finish(payload, rows)
+                    payload, rows = own, []
+                else:
+                    rows.append((words, counts, target))
+        if payload is not None:
+            yield finish(payload, rows)
+
+    return run
+
+
+def score(documents: DataFrame, labels: DataFrame, cut: float = 0.0, bundle_bytes: int = BUNDLE_BYTES, slice_bytes: int = SLICE_BYTES) -> DataFrame:
+    """One row per document: tokens, mean losses in nats, their difference and whether it is at most ``cut``.
+
+    The background counts every row; the target every document with label ``quality`` 1. Without any, the
+    two are one and all differences 0. A null or empty text has no tokens, losses of 0 and is not selected.
+    Ids may be null, which is never trusted, or repeat, and then each row has its own score; other columns
+    are not read.
+    """
+    scratch = Scratch(documents.sparkSession, "lm-score")
+    n_bytes = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits, slices = hash_bits(n_bytes), max(LEAST_SLICES, -(-n_bytes // slice_bytes))
+    marked = samples.with_trust(documents, labels)
+    bundles = scratch.save(marked.mapInArrow(_bundles(bits, slices, bundle_bytes), ROWS))
+    held = bundles.where("slice >= 0").drop("payload", "sizes")
+    sums = scratch.save(held.repartition("slice").sortWithinPartitions("slice", "bundle").mapInArrow(_sums, TOTALS))
+    words = sums.where("bundle is null").agg(F.sum("words")).first()[0] or 0
+    sizes = bundles.where("slice < 0").agg(*(F.coalesce(F.sum(F.col("sizes")[k]), F.lit(0)) for k in range(4))).first()
+    model = Sizes((sizes[0], sizes[2]), (sizes[1], sizes[3]), int(words))
+    own = bundles.where("slice < 0").select("bundle", "slice", "words", F.lit(None).cast("binary").alias("counts"), F.lit(None).cast("binary").alias("target"), "payload")
+    parts = own.unionByName(sums.where("bundle is not null").withColumn("payload", F.lit(None).cast("binary")))
+    return parts.repartition("bundle").sortWithinPartitions("bundle", "slice").mapInArrow(_scores(model, bits, cut), SCHEMA)

@@ -294,7 +294,7 @@ def token_files(documents: DataFrame, path: str, scratch: Scratch, file_tokens:
 def read_files(files: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32), each document decoded from its file.
 
-    The tokens before a part are summed over a table of one row for each part.
+    The tokens before a part are summed over a table of one row for each part, which goes to every task.
     """
     parts = files.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     offsets = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
@@ -306,5 +306,5 @@ def read_files(files: DataFrame) -> DataFrame:
                 crc = [zlib.crc32(f.document(i).astype("<u4").tobytes()) for i in range(len(f.doc_ids))]
                 yield pa.RecordBatch.from_arrays([pa.array(f.doc_ids, pa.int64()), pa.array(first + np.cumsum(f.counts) - f.counts, pa.int64()), pa.array(f.counts, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    placed = files.join(offsets, "part").select((F.col("before") + F.col("start")).alias("first"), "payload")
+    placed = files.join(F.broadcast(offsets), "part").select((F.col("before") + F.col("start")).alias("first"), "payload")
     return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
