@@ -1,19 +1,23 @@
 """Toxicity by a support vector machine on a subsequence string kernel with Nyström landmarks.
 
 The kernel of two strings sums, over all subsequences of N letters that span at most SPAN letters, the
-product of their weights, DECAY for each letter skipped. Non-letters inside a word, and spaces between
-single letters, are left out beforehand, digits and signs that stand for letters are replaced; so
-inserted and gapped spellings still share most subsequences with the insult.
-
-Landmarks are letter runs that toxic training texts hold and clean ones do not, and as a contrast
-frequent clean ones. Landmark kernel values, whitened, are the features of a linear machine, trained on
-the worst-looking words of labelled sentences, gathered anew each round, and on the toxic landmarks. Features of a string are linear in its weighted subsequences, so the trained
-machine folds into one weight for each subsequence, and a text is scored by table look-ups at every
-position: the largest sum over a window of starts in one word.
+product of their weights, DECAY for each letter skipped. Letters of every script count; signs inside a
+word, invisible characters, marks and spaces between single letters are left out beforehand, digits and
+signs that stand for letters are replaced; so inserted and gapped spellings still share most
+subsequences with the insult.
+
+Landmarks are pieces of words of the labelled sentences: those of toxic ones that tell them best from clean
+ones. Landmark kernel values,
+whitened, are the features of a linear machine, trained on the toxic sentences' windows nearest to the toxic
+landmarks and on the clean ones' worst windows, of which each round adds more. A logistic curve, fitted to the machine's margins of the labelled texts, gives probabilities.
+Features of a string are linear in its weighted subsequences, so the trained machine folds into one weight
+for each subsequence, and a text is scored by table look-ups at every position: the largest sum over a
+window of starts in one word. Subsequences are told apart by hashes of 2**TABLE_BITS values.
 """
 
 from __future__ import annotations
 
+import functools
 import unicodedata
 from collections.abc import Iterator
 from itertools import combinations
@@ -28,37 +32,44 @@ from . import textkit as tk
 N, SPAN, DECAY = 4, 6, 0.7
 #: Starts that one window sums up.
 WINDOW = 6
-LANDMARKS, CONTRAST = 48, 16
+LANDMARKS = 64
+#: How many times as frequent in toxic texts a landmark from those is.
+MORE = 20.0
+#: Letters of a landmark.
+SIZES = (4, 5, 6, 7)
 #: The machine is fitted on at most so many labelled documents of each class, and bytes of them.
 DOCS_PER_CLASS, BYTES, ROUNDS = 2000, 16 << 20, 3
 HELD_OUT = (3, 1)
 THRESHOLD = 0.7
+TABLE_BITS = 22
 
-_BITS = 5
 OFFSETS = [(o, DECAY ** (o[-1] - (N - 1))) for o in combinations(range(1, SPAN), N - 1)]
-_SPACE, _OTHER_LETTER = 255, 27
+_SPACE = -1
+_PLACES = (tk.constants(4, N) >> tk.U64(32)).astype(np.uint32) | np.uint32(1)
 # Signs that stand for letters.
 LOOKALIKES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"}
 
 
-def _class_table() -> np.ndarray:
-    """Letter number, 0 for signs and _SPACE for white space, of each code point below 0x250."""
-    out = np.zeros(0x250, np.uint8)
-    for c in range(len(out)):
-        ch = chr(c).lower()
-        base = unicodedata.normalize("NFD", LOOKALIKES.get(ch, ch))[0]
-        if chr(c).isspace():
-            out[c] = _SPACE
-        elif "a" <= base <= "z":
-            out[c] = ord(base) - 96
-        elif base.isalpha():
-            out[c] = _OTHER_LETTER
-    return out
+def letter_of(point: int) -> int:
+    """The code point of a character's letter without case and marks, _SPACE for white space, else 0."""
+    ch = chr(point)
+    if ch.isspace():
+        return _SPACE
+    ch = LOOKALIKES.get(ch, ch)
+    base = unicodedata.normalize("NFKD", ch)[0].lower()[0]
+    if ord(base) >= 0x530:  # beyond Latin, Greek and Cyrillic a decomposed letter is no longer itself
+        base = ch.lower()[0]
+    return ord(base) if base.isalpha() else 0
+
+
+@functools.cache
+def _letters_of_plane() -> np.ndarray:
+    """letter_of for the first 2**16 code points."""
+    return np.array([0 if 0xD800 <= c < 0xE000 else letter_of(c) for c in range(1 << 16)], np.int32)
 
 
-_CLASSES = _class_table()
 #: A look-alike counts only beside a letter.
-_SIGN = np.zeros(0x250, bool)
+_SIGN = np.zeros(128, bool)
 _SIGN[[ord(c) for c in LOOKALIKES]] = True
 
 
@@ -66,24 +77,25 @@ class Letters:
     """Letters of some texts: ``code``, ``unit`` (the word, or run of single letters) and ``text``."""
 
     def __init__(self, texts: list[str]):
-        points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+        points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
         length = np.array([len(t) for t in texts], np.int64)
         text = np.repeat(np.arange(len(texts), dtype=np.int32), length)
-        low = np.minimum(points, 0x24F)
-        code = np.where(points < 0x250, _CLASSES[low], _OTHER_LETTER).astype(np.uint8)
-        wide = (points == 0x3000) | ((points >= 0x2000) & (points <= 0x200A)) | (points == 0x2028) | (points == 0x2029)
-        code[wide] = _SPACE
+        code = _letters_of_plane()[np.minimum(points, 0xFFFF)]
+        far = np.flatnonzero(points > 0xFFFF)
+        if len(far):
+            values, inverse = np.unique(points[far], return_inverse=True)
+            code[far] = np.array([letter_of(int(v)) for v in values], np.int32)[inverse]
         first = np.zeros(len(points), bool)
         first[(np.cumsum(length) - length)[length > 0]] = True
         space = code == _SPACE
-        sign = np.flatnonzero((points < 0x250) & _SIGN[low])
+        is_sign = (points < 128) & _SIGN[np.minimum(points, 127)]
+        sign = np.flatnonzero(is_sign)
         if len(sign):
-            plain = (code > 0) & ~space & ~((points < 0x250) & _SIGN[low])
-            around = np.concatenate([[False], plain, [False]])
+            around = np.concatenate([[False], (code > 0) & ~is_sign, [False]])
             code[sign[~(around[sign] | around[sign + 2])]] = 0
         unit = np.cumsum(space | first)
-        keep = (code > 0) & ~space
-        self.code, unit, self.text = code[keep].astype(np.int32), unit[keep], text[keep]
+        keep = code > 0
+        self.code, unit, self.text = code[keep], unit[keep], text[keep]
         # Words that are single letters join the word before them if that is one too.
         begin = np.flatnonzero(np.append(True, unit[1:] != unit[:-1])) if len(unit) else np.zeros(0, np.int64)
         size = np.diff(np.append(begin, len(unit)))
@@ -92,27 +104,43 @@ class Letters:
         self.unit = np.repeat(np.cumsum(~joins), size)
         self.n = len(texts)
 
+    @functools.cached_property
+    def _placed(self) -> list[np.ndarray]:
+        """Each letter's share in a subsequence's hash, for each of the N places."""
+        h = tk.mix(self.code.astype(tk.U64) * tk.NGRAM[11]).astype(np.uint32)
+        return [np.append(h, np.zeros(SPAN, np.uint32)) * m for m in _PLACES]
+
     def subsequences(self) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
-        """For each shape: code at each start, whether it stays in the unit, and its weight."""
+        """For each shape: hash at each start, whether it stays in the unit, and its weight."""
         n = len(self.code)
-        code = np.append(self.code, np.zeros(SPAN, np.int32))
         unit = np.append(self.unit, np.full(SPAN, -1))
         inside = {d: unit[d : n + d] == self.unit for d in range(1, SPAN)}
         for offsets, weight in OFFSETS:
-            c = self.code
-            for d in offsets:
-                c = (c << _BITS) | code[d : n + d]
-            yield c, inside[offsets[-1]], weight
+            c = self._placed[0][:n].copy()
+            for k, d in enumerate(offsets, 1):
+                c += self._placed[k][d : n + d]
+            yield c >> np.uint32(32 - TABLE_BITS), inside[offsets[-1]], weight
 
     def shapes_at(self, place: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
         """As ``subsequences``, at some starts only."""
         last = len(self.code) - 1
         for offsets, weight in OFFSETS:
-            c = self.code[place]
-            for d in offsets:
-                c = (c << _BITS) | self.code[np.minimum(place + d, last)]
+            c = self._placed[0][place]
+            for k, d in enumerate(offsets, 1):
+                c = c + self._placed[k][place + d]
             end = place + offsets[-1]
-            yield c, (end <= last) & (self.unit[np.minimum(end, last)] == self.unit[place]), weight
+            yield c >> np.uint32(32 - TABLE_BITS), (end <= last) & (self.unit[np.minimum(end, last)] == self.unit[place]), weight
+
+    def runs(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Begin and hash of each run of n letters inside a unit."""
+        begin = np.flatnonzero(self.unit[: max(0, len(self.unit) - n + 1)] == self.unit[n - 1 :])
+        return begin, tk.Piece.span_hash(self._prefix, begin, begin + n)
+
+    @functools.cached_property
+    def _prefix(self) -> np.ndarray:
+        out = np.zeros(len(self.code) + 1, tk.U64)
+        np.cumsum(tk.mix(self.code.astype(tk.U64) * tk.NGRAM[12]) * tk._power_table(tk.BASE, len(self.code)), dtype=tk.U64, out=out[1:])
+        return out
 
     def window_sums(self, at_start: np.ndarray) -> np.ndarray:
         """Sum over WINDOW starts from each start on, within its unit."""
@@ -137,23 +165,6 @@ def features_of(run: str) -> dict[int, float]:
     return out
 
 
-def _runs(letters: Letters, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of the runs of n letters in each text, once for each text, and the texts."""
-    code, size = letters.code.astype(np.int64), len(letters.code) - n + 1
-    if size <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    c = code[:size]
-    for d in range(1, n):
-        c = c << _BITS | code[d : size + d]
-    ok = letters.unit[:size] == letters.unit[n - 1 :]
-    both = np.unique(letters.text[:size][ok].astype(np.int64) << (_BITS * n) | c[ok])
-    return both & ((1 << _BITS * n) - 1), both >> (_BITS * n)
-
-
-def _spell(code: int, n: int) -> str:
-    return "".join("ß" if (k := code >> _BITS * (n - 1 - i) & 31) == _OTHER_LETTER else chr(96 + k) for i in range(n))
-
-
 def without_copies(texts: list[str]) -> list[str]:
     """Texts of which at most one in four least 3-word hashes was seen before: a group of copies must not
     pass for evidence from many texts."""
@@ -172,56 +183,126 @@ def without_copies(texts: list[str]) -> list[str]:
     return out
 
 
-def choose_landmarks(toxic: list[str], clean: list[str]) -> tuple[list[str], list[str]]:
-    """Runs of 4 to 7 letters that many toxic texts and hardly a clean one hold, and frequent clean runs.
+def _chunks(texts: list[str], most: int = 1 << 18) -> Iterator[list[str]]:
+    """The texts some at a time, of ``most`` characters (a longer one alone)."""
+    own, size = [], 0
+    for t in texts:
+        if own and size + len(t) > most:
+            yield own
+            own, size = [], 0
+        own.append(t)
+        size += len(t)
+    if own:
+        yield own
+
+
+class Frequencies:
+    """In how many of some texts each run of n letters stands; hashes ascending."""
+
+    def __init__(self, texts: list[str], n: int, least: int = 1):
+        self.texts, self.n = texts, n
+        hashes, counts = [], []
+        for part in _chunks(texts):
+            letters = Letters(part)
+            begin, h = letters.runs(n)
+            order = np.lexsort((letters.text[begin], h))
+            h, text = h[order], letters.text[begin][order]
+            new = np.ones(len(h), bool)
+            new[1:] = (h[1:] != h[:-1]) | (text[1:] != text[:-1])
+            values, found = np.unique(h[new], return_counts=True)
+            hashes.append(values)
+            counts.append(found)
+        self.hashes, inverse = np.unique(np.concatenate(hashes or [np.zeros(0, tk.U64)]), return_inverse=True)
+        self.counts = np.bincount(inverse, np.concatenate(counts or [np.zeros(0)]), minlength=len(self.hashes)).astype(np.int64)
+        often = self.counts >= least
+        self.hashes, self.counts = self.hashes[often], self.counts[often]
+
+    def of(self, hashes: np.ndarray) -> np.ndarray:
+        if not len(self.hashes):
+            return np.zeros(len(hashes), np.int64)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == hashes, self.counts[at], 0)
+
+    def spelled(self, which: np.ndarray) -> list[str]:
+        """The runs' letters, sought in the texts once more."""
+        wanted, out = set(self.hashes[which].tolist()), {}
+        for part in _chunks(self.texts):
+            if len(out) == len(wanted):
+                break
+            letters = Letters(part)
+            begin, h = letters.runs(self.n)
+            values, first = np.unique(h, return_index=True)
+            for i in np.flatnonzero(np.isin(values, self.hashes[which])).tolist():
+                if int(values[i]) not in out:
+                    at = begin[first[i]]
+                    out[int(values[i])] = "".join(map(chr, letters.code[at : at + self.n].tolist()))
+        return [out[int(x)] for x in self.hashes[which]]
+
+
+def _texts_of(runs: list[str], texts: list[str]) -> list[set[int]]:
+    """For each run the texts that hold it."""
+    out: list[set[int]] = [set() for _ in runs]
+    keys = {n: {int(Letters([w]).runs(n)[1][0]): i for i, w in enumerate(runs) if len(w) == n} for n in SIZES}
+    first = 0
+    for part in _chunks(texts):
+        letters = Letters(part)
+        for n in SIZES:
+            begin, h = letters.runs(n)
+            at = np.flatnonzero(np.isin(h, np.array(list(keys[n]), tk.U64)))
+            for x, t in set(zip(h[at].tolist(), letters.text[begin[at]].tolist())):
+                out[keys[n][x]].add(first + t)
+        first += len(part)
+    return out
+
 
-    The run that reaches the most texts comes first, of about as many the longest; one of N letters, a
-    single subsequence, counts for less. Passed over is a run
-    that shares four letters in a row with one already taken, or stands only where one of those does.
+def choose_landmarks(toxic: list[str], clean: list[str]) -> list[str]:
+    """Runs of SIZES letters from toxic sentences.
+
+    A run's weight is its count of toxic texts times the log of how much more frequent it is in them. It counts
+    if it is MORE times as frequent as in clean texts and stands in as many toxic ones as chance does not
+    explain: of the runs of as many clean texts that no toxic one holds, not a tenth as many stand in that
+    many, up to half as many again. The heaviest comes first, of about as many texts the longest;
+    passed over is one that shares N letters in a row with another, or stands only where one twice as frequent does.
     """
-    toxic = without_copies(toxic)
-    letters = Letters(toxic)
-    least = max(4, len(toxic) // 33)
-    sizes = (7, 6, 5, 4)
-    runs, held, seen = {}, {}, {}
-    for n in sizes:
-        code, text = _runs(letters, n)
-        order = np.argsort(code, kind="stable")
-        values, hits = np.unique(code, return_counts=True)
-        begin = np.cumsum(hits) - hits
-        often = np.flatnonzero(hits >= least)
-        runs[n], seen[n] = values[often], np.zeros(len(often), np.int64)
-        held[n] = [text[order[begin[i] : begin[i] + hits[i]]] for i in often]
-    contrast: list[str] = []
-    for i in range(0, len(clean), 100):
-        own = Letters(clean[i : i + 100])
-        for n in sizes:
-            code = _runs(own, n)[0]
-            if n == 6 and not contrast:
-                values, counts = np.unique(code, return_counts=True)
-                contrast = [_spell(int(v), n) for v in values[np.argsort(-counts, kind="stable")][:CONTRAST]]
-            if len(runs[n]):
-                at = np.minimum(np.searchsorted(runs[n], code), len(runs[n]) - 1)
-                np.add.at(seen[n], at[runs[n][at] == code], 1)
-    found: list[tuple[int, int, str, np.ndarray]] = []
-    for n in sizes:
-        hits = np.array([len(x) for x in held[n]], np.int64)
-        good = np.flatnonzero(seen[n] * 100 * len(toxic) <= hits * len(clean))
-        found += [(int(hits[i]), n, _spell(int(runs[n][i]), n), held[n][i]) for i in good]
+    toxic, alone = without_copies(toxic), without_copies(clean)
+    sample = alone[: len(toxic)]
+    share = lambda n, texts: np.log((n + 0.5) / (len(texts) + 1))
+    words, often, weight, control = [], [], [], []
+    for n in SIZES:
+        found, rest = Frequencies(toxic, n, 2), Frequencies(alone, n)
+        lean = share(found.counts, toxic) - share(rest.of(found.hashes), alone)
+        # A run of N letters is a single subsequence and counts for less.
+        heavy = np.where(lean > np.log(MORE), found.counts * lean * (0.7 if n == N else 1.0), 0)
+        own = np.sort(np.argsort(-heavy, kind="stable")[: 20 * LANDMARKS])
+        own = own[heavy[own] > 0]
+        often.append(np.where(heavy > 0, found.counts, 0))
+        words += found.spelled(own)
+        weight.append(np.stack([heavy[own], found.counts[own]]))
+        other, all_toxic = Frequencies(sample, n, 2), Frequencies(toxic, n)
+        control.append(other.counts[all_toxic.of(other.hashes) == 0])
+    often, control, (heavy, counts) = np.concatenate(often), np.concatenate(control), np.concatenate(weight, axis=1)
+    band = lambda x, k: ((x >= k) & (x <= 1.5 * k)).sum()
+    least = next((k for k in range(2, int(often.max(initial=0)) + 1) if band(often, k) and band(control, k) <= 0.1 * band(often, k)), None)
+    if least is None:
+        return []
+    order = [i for i in np.lexsort((words, -np.array([len(w) for w in words]), -heavy)).tolist() if counts[i] >= least]
+    held = dict(zip(order, _texts_of([words[i] for i in order], toxic)))
     chosen: list[str] = []
-    reached: list[np.ndarray] = []
+    reached: list[set[int]] = []
     taken: set[str] = set()
-    found.sort(key=lambda x: (-x[0] * (0.7 if x[1] == N else 1.0), -x[1], x[2]))
-    for hits, _, run, texts in found:
-        if len(chosen) == LANDMARKS:
-            break
-        if taken & {run[i : i + 4] for i in range(len(run) - 3)} or any(np.isin(texts, r).mean() > 0.9 for r in reached):
+    for i in order:
+        word = max((words[j] for j in order if words[i] in words[j] and counts[j] >= 0.97 * counts[i]), key=len)
+        own = {word[k : k + N] for k in range(len(word) - N + 1)}
+        if len(chosen) == LANDMARKS or taken & own or any(len(held[i] & r) > 0.9 * len(held[i]) and 2 * len(held[i]) <= len(r) for r in reached):
             continue
-        run = max((x for x in found if run in x[2] and x[0] >= 0.97 * hits), key=lambda x: x[1])[2]
-        chosen.append(run)
-        reached.append(texts)
-        taken |= {run[i : i + 4] for i in range(len(run) - 3)}
-    return chosen, contrast
+        chosen.append(word)
+        reached.append(held[i])
+        taken |= own
+    return chosen
+
+
+def _value(a: dict[int, float], b: dict[int, float]) -> float:
+    return sum(v * b.get(k, 0.0) for k, v in a.items())
 
 
 class Machine:
@@ -229,9 +310,20 @@ class Machine:
 
     def __init__(self, landmarks: list[str] = (), table: np.ndarray | None = None, scale: float = 0.0, shift: float = -2.0):
         self.landmarks = list(landmarks)
-        self.table = np.zeros(1 << _BITS * N, np.float32) if table is None else table.astype(np.float32)
+        self.table = np.zeros(1 << TABLE_BITS, np.float32) if table is None else table.astype(np.float32)
         self.scale, self.shift = scale, shift
 
+    def __getstate__(self) -> dict:
+        """Only the filled cells travel."""
+        at = np.flatnonzero(self.table)
+        return self.__dict__ | {"table": (at.astype(np.int32), self.table[at])}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        at, values = state["table"]
+        self.table = np.zeros(1 << TABLE_BITS, np.float32)
+        self.table[at] = values
+
     def worst(self, letters: Letters) -> np.ndarray:
         """Each text's largest response; 0 without letters."""
         out = np.zeros(letters.n)
@@ -245,17 +337,28 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.scale * worst + self.shift, -30, 30)))
 
 
-def _linear_svm(x: np.ndarray, y: np.ndarray, steps: int = 400, ridge: float = 1e-3) -> tuple[np.ndarray, float]:
-    """Hinge loss by accelerated subgradients; both classes weigh the same."""
-    sign = np.where(y > 0, 1.0, -1.0)
+def _linear_svm(x: np.ndarray, y: np.ndarray, ridge: float = 1e-4, steps: int = 60) -> tuple[np.ndarray, float]:
+    """Weights and bias for the squared hinge loss, by Newton's method; both classes weigh the same."""
+    sign, b = np.where(y > 0, 1.0, -1.0), np.append(x, np.ones((len(x), 1)), 1)
     weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y == 0).sum()))
-    w, b = np.zeros(x.shape[1] + 1), np.append(x, np.ones((len(x), 1)), 1)
-    speed = np.zeros_like(w)
-    for k in range(steps):
-        miss = sign * (b @ w) < 1
-        g = ridge * np.append(w[:-1], 0) - (weight * sign * miss) @ b
-        speed = 0.9 * speed - 0.3 / (1 + k / 100) * g
-        w = w + speed
+    pull = ridge * np.append(np.ones(x.shape[1]), 1e-6)
+
+    def loss(w: np.ndarray) -> float:
+        return float((weight * np.maximum(0, 1 - sign * (b @ w)) ** 2).sum() + (pull * w * w).sum())
+
+    w = np.zeros(b.shape[1])
+    for _ in range(steps):
+        gap = 1 - sign * (b @ w)
+        own = gap > 0
+        inside, scaled = b[own], (weight * sign * gap)[own]
+        gradient = 2 * pull * w - 2 * scaled @ inside
+        step = np.linalg.solve(2 * np.diag(pull) + 2 * (inside * weight[own][:, None]).T @ inside, gradient)
+        size = 1.0
+        while size > 1e-4 and loss(w - size * step) > loss(w):
+            size /= 2
+        w = w - size * step
+        if np.abs(size * step).max() < 1e-8:
+            break
     return w[:-1], float(w[-1])
 
 
@@ -264,17 +367,16 @@ def train(texts: list[tuple[str, int]]) -> Machine:
     toxic, clean = [t for t, y in texts if y], [t for t, y in texts if not y]
     if not toxic or not clean:
         return Machine()
-    bad, contrast = choose_landmarks(toxic, clean)
-    if not bad:
+    landmarks = choose_landmarks(toxic, clean)
+    if not landmarks:
         return Machine()
-    landmarks = bad + [x for x in contrast if x not in bad]
     own = [features_of(x) for x in landmarks]
-    norm = np.sqrt([max(1e-9, sum(v * v for v in f.values())) for f in own])
-    gram = np.array([[sum(v * g.get(c, 0.0) for c, v in f.items()) for g in own] for f in own]) / np.outer(norm, norm)
+    norm = np.sqrt([max(1e-9, _value(f, f)) for f in own])
+    gram = np.array([[_value(f, g) for g in own] for f in own]) / np.outer(norm, norm)
     values, vectors = np.linalg.eigh(gram)
     whiten = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-3))) @ vectors.T
     codes = sorted({c for f in own for c in f})
-    index = np.zeros(1 << _BITS * N, np.int32)
+    index = np.zeros(1 << TABLE_BITS, np.int32)
     index[codes] = np.arange(1, len(codes) + 1)
     matrix = np.zeros((len(codes) + 1, len(landmarks)))
     for j, f in enumerate(own):
@@ -282,31 +384,54 @@ def train(texts: list[tuple[str, int]]) -> Machine:
             matrix[index[c], j] = v / norm[j]
 
     def folded(alpha: np.ndarray) -> np.ndarray:
-        table = np.zeros(1 << _BITS * N, np.float32)
+        table = np.zeros(1 << TABLE_BITS, np.float32)
         table[codes] = (matrix[1:] @ alpha).astype(np.float32)
         return table
 
     texts = toxic + clean
     y = np.append(np.ones(len(toxic)), np.zeros(len(clean)))
-    alpha = np.append(np.ones(len(bad)), np.zeros(len(landmarks) - len(bad)))
-    negative = np.zeros((0, len(landmarks)))
-    # The landmarks themselves, repeated to weigh as much as the texts found.
-    proto = np.repeat((gram * norm[:, None])[: len(bad)], max(1, len(toxic) // len(bad)), axis=0)
+    machine = Machine(landmarks, folded(1 / norm))  # each landmark itself has a response of 1
+    windows = lambda m, own: np.concatenate([_worst_windows(m, part, matrix, index) for part in _chunks(own)])
+    # A toxic sentence stands for its window nearest to the toxic landmarks; one without any trace of them teaches nothing.
+    positive = windows(machine, toxic)
+    positive = positive[positive.sum(1) > 0]
+    negative, bias = np.zeros((0, len(landmarks))), 0.0
     for _ in range(ROUNDS):
-        machine = Machine(landmarks, folded(alpha))
-        worst = [_worst_windows(machine, texts[i : i + 100], matrix, index) for i in range(0, len(texts), 100)]
-        x = np.concatenate(worst)
-        negative = np.concatenate([negative, x[y == 0]])
-        positive = x[(y > 0) & (np.abs(x).sum(1) > 0)]  # a text without any landmark's trace teaches nothing
-        x_all = np.concatenate([negative, positive, proto])
-        weights, _ = _linear_svm(x_all @ whiten, np.append(np.zeros(len(negative)), np.ones(len(x_all) - len(negative))))
-        alpha = whiten @ weights
-    machine = Machine(landmarks, folded(alpha))
-    known = machine.worst(Letters(bad))
-    _calibrate(machine, np.concatenate([machine.worst(Letters(clean[i : i + 100])) for i in range(0, len(clean), 100)]), known)
+        negative = np.concatenate([negative, windows(machine, clean)])
+        labels = np.append(np.zeros(len(negative)), np.ones(len(positive)))
+        weights, bias = _linear_svm(np.concatenate([negative, positive]) @ whiten, labels)
+        machine = Machine(landmarks, folded(whiten @ weights))
+    margin = np.concatenate([machine.worst(Letters(part)) for part in _chunks(texts)]) + bias
+    machine.scale, shift = platt(margin, y)
+    machine.shift = shift + machine.scale * bias
     return machine
 
 
+def platt(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Slope and shift of the logistic curve that fits the classes best, both weighing the same, by Newton's
+    method with Platt's targets. The slope is not negative."""
+    n = np.array([(y == 0).sum(), (y > 0).sum()])
+    target = np.where(y > 0, (n[1] + 1) / (n[1] + 2), 1 / (n[0] + 2))
+    weight = np.where(y > 0, 0.5 / n[1], 0.5 / n[0])
+    x, w = np.stack([margin, np.ones(len(margin))], axis=1), np.array([1.0, 0.0])
+
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return float((weight * (np.logaddexp(0, z) - target * z)).sum()) + 1e-6 * float(w @ w)
+
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        gradient = x.T @ (weight * (p - target)) + 2e-6 * w
+        step = np.linalg.solve(x.T @ (x * (weight * p * (1 - p))[:, None]) + 2e-6 * np.eye(2), gradient)
+        size = 1.0
+        while size > 1e-6 and loss(w - size * step) > loss(w):
+            size /= 2
+        w = w - size * step
+        if np.abs(size * step).max() < 1e-9:
+            break
+    return max(0.0, float(w[0])), float(w[1])
+
+
 def _worst_windows(machine: Machine, texts: list[str], matrix: np.ndarray, index: np.ndarray) -> np.ndarray:
     """Landmark kernel values of each text's window of the largest response; zeros without letters."""
     letters = Letters(texts)
@@ -325,17 +450,6 @@ def _worst_windows(machine: Machine, texts: list[str], matrix: np.ndarray, index
     return out
 
 
-def _calibrate(machine: Machine, clean: np.ndarray, known: np.ndarray) -> None:
-    """Log odds that are those of THRESHOLD between the responses of nearly all clean texts and of nearly
-    all landmarks, and nearly certain at a landmark's usual response, or at none the other way."""
-    low, high = float(np.quantile(clean, 0.998)), float(np.quantile(known, 0.1))
-    cut = low + 0.4 * (high - low) if high > low else high
-    usual = max(float(np.median(known)), cut + 1e-3)
-    at_cut = np.log(THRESHOLD / (1 - THRESHOLD))
-    machine.scale = min((4.0 - at_cut) / (usual - cut), (8.0 + at_cut) / max(cut, 1e-3))
-    machine.shift = at_cut - machine.scale * cut
-
-
 def fit(documents: DataFrame, labels: DataFrame, held_out: tuple[int, int] = HELD_OUT) -> Machine:
     """A machine fitted on at most DOCS_PER_CLASS whole texts of each label."""
     return train(samples.labelled_texts(documents, labels, "toxic", DOCS_PER_CLASS, held_out, BYTES))
@@ -353,7 +467,7 @@ def score(documents: DataFrame, machine: Machine, threshold: float = THRESHOLD)
     A null or empty text, or one without letters, has the least score. Ids may be null or repeat; other
     columns are not read. Nothing is shuffled.
     """
-    sent = documents.sparkSession.sparkContext.broadcast(machine)  # one number for each of 2**20 subsequences
+    sent = documents.sparkSession.sparkContext.broadcast(machine)  # the filled cells of its table
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
