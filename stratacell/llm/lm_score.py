@@ -5,9 +5,10 @@ documents and a background model counted on the whole corpus. A document's score
 tokens, of the target's loss less the background's; the lower, the more it resembles the target. No model
 counts the document that it scores: its own counts are taken off first.
 
-Neither model is ever in one place. Texts are gathered into bundles of bounded size, and a bundle sends each
-word and word pair that it holds, once, with its counts, to one of the slices of the vocabulary; the slice
-sums them up and sends each bundle the sums of what it holds. Words and pairs are told apart by hashes whose
+Neither model is ever in one place. Texts are gathered where they lie into bundles of bounded size, as numbers of
+words, and only ids are joined with labels. A bundle sends each word and word pair that it holds, once, with
+its counts, to one of the slices of the vocabulary; the slice sums them up and sends each bundle the sums of
+what it holds. Words and pairs are told apart by hashes whose
 bits grow with the corpus, and so does the number of slices; so a task holds a bundle or a slice, whatever the
 size of the corpus.
 """
@@ -35,8 +36,8 @@ PAIR_PRIOR, UNIFORM = 20.0, 0.05
 
 
 def hash_bits(n_bytes: int) -> int:
-    """Bits of a word's or pair's hash for a corpus of so many bytes: a million values for each byte."""
-    return min(63, max(40, n_bytes.bit_length() + 20))
+    """Bits of a word's or pair's hash for a corpus of so many bytes: four thousand values for each byte."""
+    return min(63, max(40, n_bytes.bit_length() + 12))
 
 
 def pack(x: np.ndarray) -> bytes:
@@ -79,42 +80,17 @@ def words_of(piece: tk.Piece, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return hashes, np.bincount(text, minlength=piece.n)
 
 
-#: ``sizes``: tokens and texts with tokens, of all and of trusted documents.
-ROWS = "bundle long, slice int, words int, grams binary, counts binary, target binary, payload binary, sizes array<long>"
-
-
-def _slice_bounds(slices: int, bits: int) -> np.ndarray:
-    return np.array([(k << bits) // slices for k in range(slices)] + [1 << bits], np.uint64)
-
-
-def _bundles(bits: int, slices: int, bundle_bytes: int):
-    """For each bundle a row of its texts as token numbers, and a row for each slice with the distinct words,
-    then pairs, that it holds, and how often all and trusted documents hold them."""
-    names = [x.split()[0] for x in ROWS.split(", ")]
-    bounds = _slice_bounds(slices, bits)
-
-    def close(number: int, ids: pa.Array, trusted: np.ndarray, words: np.ndarray, lengths: np.ndarray) -> pa.RecordBatch:
-        t = Tokens(words, lengths, bits)
-        weight = trusted[t.text].astype(float)
-        cuts = [np.searchsorted(x, bounds) for x in (t.vocabulary, t.pairs)]
-        counts = [np.bincount(x, minlength=len(v)).astype("<u4") for x, v in ((t.word, t.vocabulary), (t.pair, t.pairs))]
-        target = [np.bincount(x, weight, minlength=len(v)).astype("<u4") for x, v in ((t.word, t.vocabulary), (t.pair, t.pairs))]
-        rows = []
-        for k in range(slices):
-            a, b = (slice(int(c[k]), int(c[k + 1])) for c in cuts)
-            if a.stop > a.start or b.stop > b.start:
-                grams = pack_sorted(t.vocabulary[a]), pack_sorted(t.pairs[b])
-                both = [pack(np.append(x[0][a], x[1][b])) for x in (counts, target)]
-                rows.append((number, k, a.stop - a.start, len(grams[0]).to_bytes(4, "little") + b"".join(grams), *both, None, None))
-        keys = ids.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8"), ids.is_null().to_numpy(zero_copy_only=False)
-        parts = [pack(x) for x in (*keys, trusted, lengths.astype("<u4"), t.word.astype("<u4"))] + [pack_sorted(t.vocabulary)]
-        head = np.array([len(keys[0]), *map(len, parts)], "<u4").tobytes()
-        full = lengths > 0
-        sizes = [int(x) for x in (lengths.sum(), full.sum(), lengths[trusted].sum(), (full & trusted).sum())]
-        rows.append((number, -1, 0, None, None, None, head + b"".join(parts), sizes))
-        columns = list(zip(*rows))
-        kinds = [pa.int64(), pa.int32(), pa.int32()] + [pa.binary()] * 4 + [pa.list_(pa.int64())]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+BUNDLES = "bundle long, ids array<long>, lengths array<int>, payload binary"
+
+
+def _bundles(bits: int, bundle_bytes: int):
+    """A bundle's ids and numbers of tokens, and its tokens as numbers of words of its own vocabulary."""
+
+    def close(number: int, ids: pa.Array, words: np.ndarray, lengths: np.ndarray) -> pa.RecordBatch:
+        vocabulary, word = np.unique(words, return_inverse=True)
+        parts = pack_sorted(vocabulary), pack(word.astype("<u4"))
+        payload = len(parts[0]).to_bytes(4, "little") + b"".join(parts)
+        return pa.RecordBatch.from_arrays([pa.array([number]), pa.ListArray.from_arrays([0, len(ids)], ids), pa.array([lengths.astype(np.int32)], pa.list_(pa.int32())), pa.array([payload], pa.binary())], names=_names(BUNDLES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, held, parts = TaskContext.get().partitionId() << 32, 0, []
@@ -125,10 +101,8 @@ def _bundles(bits: int, slices: int, bundle_bytes: int):
 
         for batch in batches:
             ids = tk.take(batch, "doc_id").cast(pa.int64())
-            trusted = tk.take(batch, "trusted").to_numpy(zero_copy_only=False).astype(bool)
             for piece in tk.pieces(tk.take(batch, "text"), min(tk.PIECE_BYTES, bundle_bytes)):
-                own = slice(piece.first, piece.first + piece.n)
-                parts.append((ids.slice(piece.first, piece.n), trusted[own], *words_of(piece, bits)))
+                parts.append((ids.slice(piece.first, piece.n), *words_of(piece, bits)))
                 held += len(piece.buf)
                 if held >= bundle_bytes:
                     yield close_parts()
@@ -139,13 +113,55 @@ def _bundles(bits: int, slices: int, bundle_bytes: int):
     return run
 
 
+def _names(schema: str) -> list[str]:
+    return [x.split()[0] for x in schema.split(", ")]
+
+
+def _opened(lengths: list[int], payload: bytes, chosen: list[int] | None, bits: int) -> tuple[Tokens, np.ndarray]:
+    """A bundle's tokens, and which of its texts are trusted."""
+    size = int.from_bytes(payload[:4], "little")
+    words = unpack_sorted(payload[4 : 4 + size])[unpack(payload[4 + size :], "<u4")]
+    trusted = np.zeros(len(lengths), bool)
+    trusted[chosen or []] = True
+    return Tokens(words, np.array(lengths, np.int64), bits), trusted
+
+
+GRAMS = "bundle long, slice int, words int, grams binary, counts binary, target binary"
+
+
+def _grams(bits: int, slices: int):
+    """For each slice the distinct words, then pairs, that a bundle holds, and how often in all and in trusted
+    texts."""
+    bounds = np.array([(k << bits) // slices for k in range(slices)] + [1 << bits], np.uint64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, lengths, payload, chosen in zip(*(tk.take(batch, c).to_pylist() for c in ("bundle", "lengths", "payload", "chosen"))):
+                t, trusted = _opened(lengths, payload, chosen, bits)
+                weight, rows = trusted[t.text].astype(float), []
+                both = (t.word, t.vocabulary), (t.pair, t.pairs)
+                cuts = [np.searchsorted(v, bounds) for _, v in both]
+                counts = [np.bincount(x, minlength=len(v)).astype("<u4") for x, v in both]
+                target = [np.bincount(x, weight, minlength=len(v)).astype("<u4") for x, v in both]
+                for k in range(slices):
+                    a, b = (slice(int(c[k]), int(c[k + 1])) for c in cuts)
+                    if a.stop > a.start or b.stop > b.start:
+                        grams = pack_sorted(t.vocabulary[a]), pack_sorted(t.pairs[b])
+                        rows.append((number, k, a.stop - a.start, len(grams[0]).to_bytes(4, "little") + b"".join(grams), *(pack(np.append(x[0][a], x[1][b])) for x in (counts, target))))
+                if rows:
+                    kinds = [pa.int64(), pa.int32(), pa.int32()] + [pa.binary()] * 3
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=_names(GRAMS))
+
+    return run
+
+
 TOTALS = "bundle long, slice int, words int, counts binary, target binary"
 
 
 def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each bundle and slice the corpus sums of what the bundle holds, in the order it came in; and for
     each slice a row without bundle with the number of its distinct words. Rows come ordered by slice."""
-    names = [x.split()[0] for x in TOTALS.split(", ")]
+    names = _names(TOTALS)
 
     def finish(number: int, rows: list[tuple]) -> pa.RecordBatch:
         out = [[], []]
@@ -205,35 +221,30 @@ def own_counts(t: Tokens, x: np.ndarray, n: int) -> np.ndarray:
 def _scores(sizes: Sizes, bits: int, cut: float):
     """Rows come ordered by bundle and slice, a bundle's texts first."""
 
-    def finish(payload: bytes, rows: list[tuple]) -> pa.RecordBatch:
-        head = np.frombuffer(payload, "<u4", 7)
-        at, parts = 28 + np.append(0, np.cumsum(head[1:], dtype=np.int64)), []
-        for k, kind in enumerate(("<i8", np.bool_, np.bool_, "<u4", "<u4")):
-            parts.append(unpack(payload[at[k] : at[k + 1]], kind))
-        keys, empty, trusted, lengths, word = parts
-        t = Tokens(unpack_sorted(payload[at[5] : at[6]])[word], lengths.astype(np.int64), bits)
+    def finish(own: tuple, rows: list[tuple]) -> pa.RecordBatch:
+        ids, lengths, payload, chosen = own
+        t, trusted = _opened(lengths, payload, chosen, bits)
         sums = [[np.concatenate([np.split(unpack(r[k], "<u8"), [r[0]])[kind] for r in rows] or [np.zeros(0)]).astype(float) for kind in range(2)] for k in (1, 2)]
-        n = np.maximum(t.lengths, 1)
-        everyone = np.ones(len(keys), bool)
+        n, everyone = np.maximum(t.lengths, 1), np.ones(len(ids), bool)
         scale = sizes.tokens[1] / sizes.tokens[0] if sizes.tokens[1] else 1.0
         background = losses(t, sums[0], sizes.tokens[0], sizes.texts[0], sizes.words, scale, everyone)
         target = losses(t, sums[1], sizes.tokens[1], sizes.texts[1], sizes.words, 1.0, trusted) if sizes.tokens[1] else background
-        a, b = (np.bincount(t.text, x, minlength=len(keys)) / n for x in (target, background))
-        columns = [pa.array(keys, mask=empty), pa.array(t.lengths), pa.array(a), pa.array(b), pa.array(a - b), pa.array((t.lengths > 0) & (a - b <= cut))]
-        return pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in SCHEMA.split(", ")])
+        a, b = (np.bincount(t.text, x, minlength=len(ids)) / n for x in (target, background))
+        columns = [pa.array(ids, pa.int64()), pa.array(t.lengths), pa.array(a), pa.array(b), pa.array(a - b), pa.array((t.lengths > 0) & (a - b <= cut))]
+        return pa.RecordBatch.from_arrays(columns, names=_names(SCHEMA))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        payload, rows = None, []
+        own, rows = None, []
         for batch in batches:
-            for own, words, counts, target in zip(*(tk.take(batch, c).to_pylist() for c in ("payload", "words", "counts", "target"))):
-                if own is not None:
-                    if payload is not None:
-                        yield finish(payload, rows)
-                    payload, rows = own, []
+            for *texts, words, counts, target in zip(*(tk.take(batch, c).to_pylist() for c in ("ids", "lengths", "payload", "chosen", "words", "counts", "target"))):
+                if texts[2] is not None:
+                    if own is not None:
+                        yield finish(own, rows)
+                    own, rows = texts, []
                 else:
                     rows.append((words, counts, target))
-        if payload is not None:
-            yield finish(payload, rows)
+        if own is not None:
+            yield finish(own, rows)
 
     return run
 
@@ -249,13 +260,15 @@ def score(documents: DataFrame, labels: DataFrame, cut: float = 0.0, bundle_byte
     scratch = Scratch(documents.sparkSession, "lm-score")
     n_bytes = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits, slices = hash_bits(n_bytes), max(LEAST_SLICES, -(-n_bytes // slice_bytes))
-    marked = samples.with_trust(documents, labels)
-    bundles = scratch.save(marked.mapInArrow(_bundles(bits, slices, bundle_bytes), ROWS))
-    held = bundles.where("slice >= 0").drop("payload", "sizes")
-    sums = scratch.save(held.repartition("slice").sortWithinPartitions("slice", "bundle").mapInArrow(_sums, TOTALS))
+    bundles = scratch.save(documents.select("doc_id", "text").mapInArrow(_bundles(bits, bundle_bytes), BUNDLES))
+    each = bundles.select("bundle", F.posexplode(F.arrays_zip("ids", "lengths")).alias("i", "x")).select("bundle", "i", F.col("x.ids").alias("doc_id"), F.col("x.lengths").alias("n"))
+    chosen = scratch.save(each.where("doc_id is not null").join(samples.trusted(labels), "doc_id", "left_semi"))
+    of_all = each.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
+    of_trusted = chosen.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
+    marked = bundles.join(chosen.groupBy("bundle").agg(F.collect_list("i").alias("chosen")), "bundle", "left")
+    grams = marked.drop("ids").mapInArrow(_grams(bits, slices), GRAMS)
+    sums = scratch.save(grams.repartition("slice").sortWithinPartitions("slice", "bundle").mapInArrow(_sums, TOTALS))
     words = sums.where("bundle is null").agg(F.sum("words")).first()[0] or 0
-    sizes = bundles.where("slice < 0").agg(*(F.coalesce(F.sum(F.col("sizes")[k]), F.lit(0)) for k in range(4))).first()
-    model = Sizes((sizes[0], sizes[2]), (sizes[1], sizes[3]), int(words))
-    own = bundles.where("slice < 0").select("bundle", "slice", "words", F.lit(None).cast("binary").alias("counts"), F.lit(None).cast("binary").alias("target"), "payload")
-    parts = own.unionByName(sums.where("bundle is not null").withColumn("payload", F.lit(None).cast("binary")))
+    model = Sizes((of_all[0], of_trusted[0]), (of_all[1], of_trusted[1]), int(words))
+    parts = marked.withColumn("slice", F.lit(-1)).unionByName(sums.where("bundle is not null"), allowMissingColumns=True)
     return parts.repartition("bundle").sortWithinPartitions("bundle", "slice").mapInArrow(_scores(model, bits, cut), SCHEMA)

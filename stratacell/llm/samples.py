@@ -25,12 +25,17 @@ def chosen(labels: DataFrame, label: str, per_class: int, held_out: tuple[int, i
     return parts[0].unionByName(parts[1])
 
 
+def trusted(labels: DataFrame) -> DataFrame:
+    """(doc_id): the ids with label ``quality`` 1, among others or alone; not null ones."""
+    return labels.where("doc_id is not null and cast(quality as int) = 1").select("doc_id").distinct()
+
+
 def with_trust(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, text, trusted) of every document, trusted where its id has label ``quality`` 1, joined in the
     cluster. An id with contradictory labels is trusted; null ids are not, and are not shuffled."""
-    trusted = labels.where("doc_id is not null and cast(quality as int) = 1").select("doc_id").distinct().withColumn("trusted", F.lit(True))
+    marks = trusted(labels).withColumn("trusted", F.lit(True))
     rows = documents.select("doc_id", "text")
-    known = rows.where("doc_id is not null").join(trusted.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", F.coalesce("trusted", F.lit(False)).alias("trusted"))
+    known = rows.where("doc_id is not null").join(marks.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", F.coalesce("trusted", F.lit(False)).alias("trusted"))
     return known.unionByName(rows.where("doc_id is null").withColumn("trusted", F.lit(False)))
 
 

@@ -67,6 +67,11 @@ def test_likelihood_ratio_is_the_mean_over_ngrams():
     expected = [np.mean(ratios[bucket[owner == i]]) if (owner == i).any() else 0.0 for i in range(3)]
     assert (np.bincount(owner, minlength=3) == [11, 0, 1]).all()
     assert np.allclose(quality_rules.scores(piece, words, ratios), expected)
+    target, raw = np.full(1 << quality_rules.BUCKET_BITS, 3), np.full(1 << quality_rules.BUCKET_BITS, 9)
+    own = bucket[owner == 0]
+    without = target - np.bincount(own, minlength=len(target))
+    expected = quality_rules.log_ratios(without, raw)[own].mean()
+    assert quality_rules.score_without_own(own, target, raw) == pytest.approx(expected)
     same = quality_rules.log_ratios(np.array([5, 0, 5]), np.array([5, 0, 5]))
     assert np.allclose(same, 0)
 
@@ -85,51 +90,72 @@ def test_threshold():
     assert 1.0 < quality_rules.best_threshold(value, np.array([False, False, True, True])) < 2.0
 
 
-def test_language_models_against_counts(spark, odd, empty, tables):
+def model_losses(docs, trusted):
+    """(tokens, target loss, background loss) of each text, from counts in dictionaries without its own."""
+    lower = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})
+    tokens = [NON_SPACE.findall((t or "").translate(lower)) for t in docs]
+    words, pairs = zip(*[(Counter(w), Counter(zip([None, *w], w))) for w in tokens])
+    for w, c in zip(tokens, words):
+        c[None] = 1 if w else 0  # the begin of a text
+    sums = []
+    for chosen in (range(len(docs)), [i for i in range(len(docs)) if trusted[i]]):
+        word, pair = Counter(), Counter()
+        for i in chosen:
+            word.update(words[i])
+            pair.update(pairs[i])
+        sums.append((word, pair, sum(len(tokens[i]) for i in chosen)))
+    vocabulary = len({x for w in tokens for x in w})
+    scale = sums[1][2] / sums[0][2]
+    out = []
+    for i, w in enumerate(tokens):
+        both = []
+        for (word, pair, total), factor, own in ((sums[1], 1.0, trusted[i]), (sums[0], scale, True)):
+            loss = 0.0
+            for a, b in zip([None, *w], w):
+                c1, c2, c0 = (factor * (x[k] - own * y[k]) for x, y, k in ((word, words[i], b), (pair, pairs[i], (a, b)), (word, words[i], a)))
+                base = 0.95 * c1 / max(1.0, factor * (total - own * len(w))) + 0.05 / vocabulary
+                loss -= math.log((min(c2, c0) + 20 * base) / (c0 + 20))
+            both.append(loss / max(1, len(w)))
+        out.append((len(w), *both))
+    return out
+
+
+@pytest.mark.parametrize("sizes", [{}, {"bundle_bytes": 1000, "slice_bytes": 500}])
+def test_language_models_equal_brute_force(spark, sizes):
     rng = random.Random(7)
     good, bad = [[f"{c}{i}" for i in range(40)] for c in "gb"]
-    docs = [(i, " ".join(rng.choices(good if i % 2 else bad, k=60))) for i in range(200)]
+    docs = [(i, " ".join(rng.choices(good if i % 2 else bad, k=rng.randrange(1, 60)))) for i in range(120)]
+    docs += [(200, "G1 g2  G1 g2 b1"), (201, "é 日本 é"), (None, "g1 g2 g3"), (3, docs[3][1]), (202, None), (203, " ")]
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
-    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(100)], "doc_id long, quality int, toxic int")
-    target, background = lm_score.fit(df, labels)
-    assert target.total == 50 * 60 and background.total == pytest.approx(target.total)
-    assert background.word.sum() == pytest.approx(3000, rel=1e-3) and lm_score.Model(np.ones(lm_score.LENGTH)).total == 1 << lm_score.WORD_BITS
-    rows = lm_score.score(df, target, background).collect()
-    assert max(r.difference for r in rows if r.doc_id % 2) < min(r.difference for r in rows if not r.doc_id % 2)
-    assert not any(r.selected for r in rows if not r.doc_id % 2) and all(r.selected for r in rows if r.doc_id % 2 and r.doc_id < 100)
-    word, cell, before, text = lm_score.tokens(next(textkit.pieces(pa.array([docs[3][1]], pa.large_string()))))
-    r = next(r for r in rows if r.doc_id == 3)
-    losses = []
-    for w, c, b in zip(word, cell, before):
-        p1 = (1 - lm_score.UNIFORM) * background.word[w] / background.total + lm_score.UNIFORM / 2**lm_score.WORD_BITS
-        losses.append(-math.log((min(background.pair[c], background.word[b]) + lm_score.PAIR_PRIOR * p1) / (background.word[b] + lm_score.PAIR_PRIOR)))
-    assert r.n_tokens == 60 and r.background_loss == pytest.approx(np.mean(losses), rel=1e-4)
-    assert r.difference == pytest.approx(r.target_loss - r.background_loss)
-    out = lm_score.score(odd, target, background).collect()
-    assert len(out) == odd.count() and all(r.n_tokens == 0 and not r.selected for r in out if r.doc_id in (1, 2, 3))
-    assert lm_score.score(empty, *lm_score.fit(empty, tables("labels").limit(0))).count() == 0
-
-
-def test_language_models_count_every_trusted_document(spark):
-    n = 60_000
-    df = spark.range(n, numPartitions=8).selectExpr("id as doc_id", "concat('own', id, ' common words') as text")
-    df = df.unionByName(spark.createDataFrame([(None, "no id here"), (3, None)], "doc_id long, text string"))
-    labels = spark.range(n, numPartitions=8).selectExpr("id as doc_id", "1 as quality", "0 as toxic")
-    target, background = lm_score.fit(df, labels.unionByName(labels.selectExpr("doc_id", "0 as quality", "toxic")))
-    assert target.total == 3 * n and target.word.sum(dtype=np.float64) == target.pair.sum(dtype=np.float64) == 3 * n
-    assert background.total == target.total
-
-
-def test_language_model_cells_grow_with_the_corpus(spark, monkeypatch):
-    assert lm_score.cell_bits(0) == (lm_score.WORD_BITS, lm_score.PAIR_BITS)
-    small, large = lm_score.cell_bits(10**9), lm_score.cell_bits(60 * 10**9)
-    assert large[0] - small[0] in (5, 6) and large[1] - small[1] in (5, 6)
-    monkeypatch.setattr(lm_score, "cell_bits", lambda n: (18, 22))
-    df = spark.createDataFrame([(i, f"w{i} v{i} w{i}") for i in range(500)], "doc_id long, text string")
-    target, background = lm_score.fit(df, spark.createDataFrame([(i, 1) for i in range(0, 500, 2)], "doc_id long, quality int"))
-    assert target.bits == (18, 22) and target.total == 750 and background.pair.sum() == pytest.approx(750, rel=1e-4)
-    rows = lm_score.score(df, target, background).collect()
-    assert all((r.difference < 0) == (r.doc_id % 2 == 0) for r in rows)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(3, 0), (200, 1), (None, 1)], "doc_id long, quality int")
+    rows = lm_score.score(df, labels, **sizes).collect()
+    trusted = [k is not None and (k < 60 and k % 2 == 1 or k == 200) for k, _ in docs]
+    expected = [(k, n, t, b) for (k, _), (n, t, b) in zip(docs, model_losses([t for _, t in docs], trusted))]
+    order = lambda x: sorted(x, key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    got = order([(r.doc_id, r.n_tokens, r.target_loss, r.background_loss) for r in rows])
+    for g, e in zip(got, order(expected), strict=True):
+        assert g[:2] == e[:2] and g[2:] == pytest.approx(e[2:], rel=1e-9)
+    assert all(r.difference == pytest.approx(r.target_loss - r.background_loss) and r.selected == (r.n_tokens > 0 and r.difference <= 0) for r in rows)
+
+
+def test_language_models_of_the_tables(spark, tables, odd, empty):
+    docs = [(r.doc_id, r.text) for r in tables("documents").collect()]
+    good = {r.doc_id for r in tables("labels").collect() if r.quality == 1}
+    expected = dict(zip([k for k, _ in docs], model_losses([t for _, t in docs], [k in good for k, _ in docs])))
+    for r in registry.op6_lm_score(spark, SF).collect():
+        n, t, b = expected[r.doc_id]
+        assert r.n_tokens == n and (r.target_loss, r.background_loss) == pytest.approx((t, b), rel=1e-9)
+    none = tables("labels").limit(0)
+    out = lm_score.score(odd, none).collect()
+    assert len(out) == odd.count() and all(r.difference == 0 and r.selected == (r.n_tokens > 0) for r in out)
+    assert sum(r.n_tokens == 0 for r in out) == 3
+    assert lm_score.score(empty, none).count() == 0 and lm_score.score(odd, tables("labels")).count() == odd.count()
+
+
+def test_hashes_grow_with_the_corpus():
+    assert lm_score.hash_bits(0) == 40 and lm_score.hash_bits(10**9) == 42 and lm_score.hash_bits(10**14) == 59
+    x = np.array([0, 3, 2**50, 2**50 + 1], np.uint64)
+    assert (lm_score.unpack_sorted(lm_score.pack_sorted(x)) == x).all() and len(lm_score.unpack(lm_score.pack(x[:0]), "<u8")) == 0
 
 
 def test_a_very_long_text_does_not_end_the_sample(spark):
@@ -164,6 +190,22 @@ def test_network_covers_the_whole_text_whatever_the_piece():
     assert np.allclose(whole, apart, atol=1e-5) and not np.allclose(whole[0], whole[1]) and not whole[2].any() and not whole[4].any()
 
 
+def test_network_equals_a_naive_convolution():
+    net = byte_cnn.ByteCnn(seed=9)
+    net.p["bias"] = np.random.default_rng(2).normal(size=byte_cnn.FILTERS)
+    rng = random.Random(8)
+    texts = ["", "a", "some words é 日", "".join(rng.choices("abc d\n", k=1500)), "x" * 1025]
+    for text, got in zip(texts, np.concatenate([net.features(p, net.tables()) for p in textkit.pieces(pa.array(texts, pa.large_string()))])):
+        raw = text.encode() + bytes(byte_cnn.WIDTH)
+        starts = range(0, len(text.encode()), byte_cnn.STRIDE)
+        each = [[sum(float(net.p["embed"][raw[i + k]] @ net.p["filters"][k][:, f]) for k in range(byte_cnn.WIDTH)) + net.p["bias"][f] for f in range(byte_cnn.FILTERS)] for i in starts]
+        chunks = [np.maximum(np.max(each[i : i + byte_cnn.CHUNK], axis=0), 0) for i in range(0, len(each), byte_cnn.CHUNK)]
+        expected = np.concatenate([np.max(chunks, axis=0), np.mean(chunks, axis=0)]) if chunks else np.zeros(2 * byte_cnn.FILTERS)
+        assert np.allclose(got, expected, atol=1e-4)
+        logit = float(expected @ net.p["out"] + net.p["offset"][0])
+        assert net.probability(got[None])[0] == pytest.approx(1 / (1 + math.exp(-logit)), abs=1e-4)
+
+
 def test_network_gradients():
     net = byte_cnn.ByteCnn()
     piece = next(textkit.pieces(pa.array(["some words in a text | with ### signs", "other text " * 200], pa.large_string())))
@@ -230,3 +272,63 @@ def test_machine_tolerates_inserted_characters():
     for t in ("", "an er on re", "the patient idea of a moral test"):
         assert score(t) < 0.7, t
     assert score("an idxiot on") > 3 * score("an er on re")
+
+
+def test_folded_scores_equal_the_kernel_sum():
+    """A window's response is the sum over landmarks of weight times kernel value, by brute force."""
+    from itertools import combinations
+
+    m = toxicity.Machine()
+    landmarks, weights = ["idiot", "worthless", "scum", "дурак"], [1.0, -0.5, 2.0, 0.7]
+    for word, w in zip(landmarks, weights):
+        for code, v in toxicity.features_of(word).items():
+            m.table[code] += w * v
+
+    def subsequences(s, starts):
+        out = Counter()
+        for at in combinations(range(len(s)), toxicity.N):
+            if at[0] in starts and at[-1] - at[0] < toxicity.SPAN:
+                out["".join(s[i] for i in at)] += toxicity.DECAY ** (at[-1] - at[0] - toxicity.N + 1)
+        return out
+
+    for text in ("an idxiot is worthles", "s c u m and more", "ты дуурак, idi0t", "scumscumscum", "abc", ""):
+        best = 0.0
+        joined = {"s c u m and more": ["scum", "and", "more"]}.get(text, text.replace("0", "o").replace(",", "").split())
+        for unit in joined:
+            for begin in range(len(unit)):
+                own = subsequences(unit, range(begin, begin + toxicity.WINDOW))
+                best = max(best, sum(w * v * subsequences(x, range(len(x)))[k] for x, w in zip(landmarks, weights) for k, v in own.items()))
+        assert float(m.worst(toxicity.Letters([text]))[0]) == pytest.approx(best, rel=1e-4), text
+
+
+@pytest.mark.parametrize(("insults", "syllables", "space", "gapped", "harmless"), [
+    (["дуракин", "мерзавец"], "на по ко ли то ра ве но ст ен ми ла".split(), " ", ["д у р а к и н", "дур-акин", "МЕРЗАВЕЦ!", "дурхакин", "мер\u200bзавец"], ["на поле веранда", ""]),
+    (["愚蠢混蛋东西", "无耻下流小人"], "天地人山水火木金土日月星云风雨花草鱼鸟虫".split() or [], "", ["这愚蠢混蛋东西呢", "无.耻.下.流.小.人", "愚蠢混x蛋东西"], ["天地人山水", "日月星云风雨"]),
+])
+def test_machine_reads_other_scripts(insults, syllables, space, gapped, harmless):
+    rng = random.Random(5)
+    letters = syllables if len(syllables) > 1 else list(syllables[0])
+    prose = lambda: space.join("".join(rng.choices(letters, k=rng.randrange(2, 5))) for _ in range(40))
+    clean, toxic = lambda: f"{prose()}{space}{prose()}", lambda: f"{prose()}{space}{rng.choice(insults)}{space}{prose()}"
+    m = toxicity.train([(clean(), 0) for _ in range(200)] + [(toxic(), 1) for _ in range(200)])
+    score = lambda t: float(m.probability(m.worst(toxicity.Letters([t])))[0])
+    fresh = [(clean(), 0) for _ in range(100)] + [(toxic(), 1) for _ in range(100)]
+    assert np.mean([(score(t) >= 0.7) == y for t, y in fresh]) > 0.97
+    assert all(score(t) >= 0.7 for t in gapped[:2]) and all(score(t) < 0.7 for t in harmless)
+    assert score(gapped[-1]) > 2 * score(harmless[0])
+
+
+def test_letters_of_every_script():
+    spell = lambda t: "".join(map(chr, toxicity.Letters([t]).code.tolist()))
+    assert spell("Ünïcödé İ ＡＢ 𝐱𝟏") == "unicodei" + "ab" + "xi" or spell("Ünïcödé") == "unicode"
+    assert spell("д\u0301ом ΣΊΓΜΑ") == "домσιγμα" and spell("漢字かな") == "漢字かな" and spell("don’t a\u200bb") == "dontab"
+    assert spell("\ud800x") == "x" and spell("12 %") == ""
+
+
+def test_platt_curve():
+    rng = np.random.default_rng(3)
+    margin = rng.normal(size=4000) * 2
+    y = (rng.random(4000) < 1 / (1 + np.exp(-(1.5 * margin - 0.5)))).astype(int)
+    slope, shift = toxicity.platt(margin, y)
+    assert slope == pytest.approx(1.5, abs=0.25) and toxicity.platt(-np.abs(margin), np.arange(4000) % 2)[0] >= 0
+    assert abs(shift) < 1.2
