@@ -29,7 +29,8 @@ from .scratch import Scratch
 #: bytes at the latest (a little later where a character would be cut).
 CUT_BITS, LEAST, MOST = 4, 8, 512
 #: The least words or bytes of a passage: more than a line that many documents share, and less than the whole
-#: chunks in fifty shared words. Bytes count for scripts without spaces.
+#: chunks in fifty shared words. Bytes count for scripts without spaces. A passage that only its own text holds
+#: before needs twice as much, for it may be a line of a list.
 PASSAGE_WORDS, PASSAGE_BYTES = 25, 400
 #: Bytes of text whose copies a task settles by itself.
 BLOCK_BYTES = 8 << 20
@@ -158,7 +159,9 @@ def _join_runs(least_words: int, least_bytes: int):
         end = np.append(begin[1:], len(c["row"])) - 1
         total = {k: np.append(0, np.cumsum(c[k], dtype=np.int64)) for k in ("words", "size")}
         words, size = (total[k][end + 1] - total[k][begin] for k in ("words", "size"))
-        ok = (words >= least_words) | (size >= least_bytes)
+        apart = np.append(0, np.cumsum(c["row"] != c["hrow"]))
+        factor = np.where(apart[end + 1] > apart[begin], 1, 2)
+        ok = (words >= factor * least_words) | (size >= factor * least_bytes)
         begin, end = begin[ok], end[ok]
         start = c["pos"][begin].astype(np.int64)
         columns = [
@@ -212,7 +215,7 @@ def repeated_passages(documents: DataFrame, least_words: int = PASSAGE_WORDS, le
     a document that holds its first chunk before.
 
     Offsets are of UTF-8 bytes; ``n_words`` are the words that begin in the passage. A passage has
-    ``least_words`` of them or ``least_bytes``. Null and empty texts have no chunks. Rows that repeat an id
+    ``least_words`` of them or ``least_bytes``, and twice that if no other row holds any of it. Null and empty texts have no chunks. Rows that repeat an id
     are rows of their own, each held against those before; rows without id come after all others and their
     passages come without one. Other columns are not read, so any names are allowed. Nothing is left out for
     being frequent.

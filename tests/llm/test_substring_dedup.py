@@ -91,7 +91,7 @@ def brute(rows):
     out, run, shift = [], None, None
 
     def close():
-        if run and (run[3] >= sd.PASSAGE_WORDS or run[2] - run[1] >= sd.PASSAGE_BYTES):
+        if run and (run[3] >= run[7] * sd.PASSAGE_WORDS or run[2] - run[1] >= run[7] * sd.PASSAGE_BYTES):
             out.append(tuple(run[:6]))
 
     for place, c, starts in sorted(chunks, key=lambda x: (x[0][2], x[0][3])):
@@ -102,10 +102,11 @@ def brute(rows):
         follows = run and run[6] == place[2] and run[2] == place[3]
         if not follows or (inside is not None and shift is not None and inside != shift):
             close()
-            run, shift = [None if place[0] else place[1], place[3], place[3], 0, 0, None if holder[0] else holder[1], place[2]], None
+            run, shift = [None if place[0] else place[1], place[3], place[3], 0, 0, None if holder[0] else holder[1], place[2], 2], None
         run[2] += len(c)
         run[3] += starts
         run[4] += 1
+        run[7] = 1 if inside is None else run[7]
         shift = inside if inside is not None else shift
     close()
     return sorted(out, key=str)
@@ -128,7 +129,7 @@ def test_query_equals_brute_force(spark, tables):
 
 def test_repeats_inside_a_text_and_rows_without_or_with_equal_ids(spark):
     rng = random.Random(4)
-    passage, other, line = words(rng, 60), words(rng, 60), words(rng, 9)
+    passage, other, line = words(rng, 90), words(rng, 60), words(rng, 30)
     mixed = lambda *parts: " ".join(x for p in parts for x in (words(rng, 20), p, words(rng, 20)))
     rows = [
         (1, mixed(passage, passage, passage)),  # its second and third copy
