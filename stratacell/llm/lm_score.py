@@ -117,13 +117,34 @@ def _names(schema: str) -> list[str]:
     return [x.split()[0] for x in schema.split(", ")]
 
 
-def _opened(lengths: list[int], payload: bytes, chosen: list[int] | None, bits: int) -> tuple[Tokens, np.ndarray]:
-    """A bundle's tokens, and which of its texts are trusted."""
-    size = int.from_bytes(payload[:4], "little")
-    words = unpack_sorted(payload[4 : 4 + size])[unpack(payload[4 + size :], "<u4")]
-    trusted = np.zeros(len(lengths), bool)
-    trusted[chosen or []] = True
-    return Tokens(words, np.array(lengths, np.int64), bits), trusted
+#: A bundle's rows, in the order of ``slice``: its texts (-2), the numbers of those trusted (-1), sums of slices.
+PARTS = "bundle long, slice int, ids array<long>, lengths array<int>, payload binary, chosen array<int>, words int, counts binary, target binary"
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[tuple[int, list, Tokens, np.ndarray, list[tuple]]]:
+    """Each bundle of rows ordered by bundle and slice: number, ids, tokens, which texts are trusted, its sums."""
+    own, chosen, rows = None, None, []
+
+    def opened() -> tuple:
+        number, ids, lengths, payload = own
+        size = int.from_bytes(payload[:4], "little")
+        words = unpack_sorted(payload[4 : 4 + size])[unpack(payload[4 + size :], "<u4")]
+        trusted = np.zeros(len(lengths), bool)
+        trusted[chosen or []] = True
+        return number, ids, Tokens(words, np.array(lengths, np.int64), bits), trusted, rows
+
+    for batch in batches:
+        for number, k, ids, lengths, payload, marks, *sums in zip(*(tk.take(batch, c).to_pylist() for c in _names(PARTS))):
+            if k == -2:
+                if own is not None:
+                    yield opened()
+                own, chosen, rows = (number, ids, lengths, payload), None, []
+            elif k == -1:
+                chosen = marks
+            else:
+                rows.append(tuple(sums))
+    if own is not None:
+        yield opened()
 
 
 GRAMS = "bundle long, slice int, words int, grams binary, counts binary, target binary"
@@ -135,22 +156,20 @@ def _grams(bits: int, slices: int):
     bounds = np.array([(k << bits) // slices for k in range(slices)] + [1 << bits], np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for number, lengths, payload, chosen in zip(*(tk.take(batch, c).to_pylist() for c in ("bundle", "lengths", "payload", "chosen"))):
-                t, trusted = _opened(lengths, payload, chosen, bits)
-                weight, rows = trusted[t.text].astype(float), []
-                both = (t.word, t.vocabulary), (t.pair, t.pairs)
-                cuts = [np.searchsorted(v, bounds) for _, v in both]
-                counts = [np.bincount(x, minlength=len(v)).astype("<u4") for x, v in both]
-                target = [np.bincount(x, weight, minlength=len(v)).astype("<u4") for x, v in both]
-                for k in range(slices):
-                    a, b = (slice(int(c[k]), int(c[k + 1])) for c in cuts)
-                    if a.stop > a.start or b.stop > b.start:
-                        grams = pack_sorted(t.vocabulary[a]), pack_sorted(t.pairs[b])
-                        rows.append((number, k, a.stop - a.start, len(grams[0]).to_bytes(4, "little") + b"".join(grams), *(pack(np.append(x[0][a], x[1][b])) for x in (counts, target))))
-                if rows:
-                    kinds = [pa.int64(), pa.int32(), pa.int32()] + [pa.binary()] * 3
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=_names(GRAMS))
+        for number, _, t, trusted, _ in _gathered(batches, bits):
+            weight, rows = trusted[t.text].astype(float), []
+            both = (t.word, t.vocabulary), (t.pair, t.pairs)
+            cuts = [np.searchsorted(v, bounds) for _, v in both]
+            counts = [np.bincount(x, minlength=len(v)).astype("<u4") for x, v in both]
+            target = [np.bincount(x, weight, minlength=len(v)).astype("<u4") for x, v in both]
+            for k in range(slices):
+                a, b = (slice(int(c[k]), int(c[k + 1])) for c in cuts)
+                if a.stop > a.start or b.stop > b.start:
+                    grams = pack_sorted(t.vocabulary[a]), pack_sorted(t.pairs[b])
+                    rows.append((number, k, a.stop - a.start, len(grams[0]).to_bytes(4, "little") + b"".join(grams), *(pack(np.append(x[0][a], x[1][b])) for x in (counts, target))))
+            if rows:
+                kinds = [pa.int64(), pa.int32(), pa.int32()] + [pa.binary()] * 3
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=_names(GRAMS))
 
     return run
 
@@ -221,30 +240,17 @@ def own_counts(t: Tokens, x: np.ndarray, n: int) -> np.ndarray:
 def _scores(sizes: Sizes, bits: int, cut: float):
     """Rows come ordered by bundle and slice, a bundle's texts first."""
 
-    def finish(own: tuple, rows: list[tuple]) -> pa.RecordBatch:
-        ids, lengths, payload, chosen = own
-        t, trusted = _opened(lengths, payload, chosen, bits)
-        sums = [[np.concatenate([np.split(unpack(r[k], "<u8"), [r[0]])[kind] for r in rows] or [np.zeros(0)]).astype(float) for kind in range(2)] for k in (1, 2)]
-        n, everyone = np.maximum(t.lengths, 1), np.ones(len(ids), bool)
-        scale = sizes.tokens[1] / sizes.tokens[0] if sizes.tokens[1] else 1.0
-        background = losses(t, sums[0], sizes.tokens[0], sizes.texts[0], sizes.words, scale, everyone)
-        target = losses(t, sums[1], sizes.tokens[1], sizes.texts[1], sizes.words, 1.0, trusted) if sizes.tokens[1] else background
-        a, b = (np.bincount(t.text, x, minlength=len(ids)) / n for x in (target, background))
-        columns = [pa.array(ids, pa.int64()), pa.array(t.lengths), pa.array(a), pa.array(b), pa.array(a - b), pa.array((t.lengths > 0) & (a - b <= cut))]
-        return pa.RecordBatch.from_arrays(columns, names=_names(SCHEMA))
+    scale = sizes.tokens[1] / sizes.tokens[0] if sizes.tokens[1] else 1.0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, rows = None, []
-        for batch in batches:
-            for *texts, words, counts, target in zip(*(tk.take(batch, c).to_pylist() for c in ("ids", "lengths", "payload", "chosen", "words", "counts", "target"))):
-                if texts[2] is not None:
-                    if own is not None:
-                        yield finish(own, rows)
-                    own, rows = texts, []
-                else:
-                    rows.append((words, counts, target))
-        if own is not None:
-            yield finish(own, rows)
+        for _, ids, t, trusted, rows in _gathered(batches, bits):
+            sums = [[np.concatenate([np.split(unpack(r[k], "<u8"), [r[0]])[kind] for r in rows] or [np.zeros(0)]).astype(float) for kind in range(2)] for k in (1, 2)]
+            n, everyone = np.maximum(t.lengths, 1), np.ones(len(ids), bool)
+            background = losses(t, sums[0], sizes.tokens[0], sizes.texts[0], sizes.words, scale, everyone)
+            target = losses(t, sums[1], sizes.tokens[1], sizes.texts[1], sizes.words, 1.0, trusted) if sizes.tokens[1] else background
+            a, b = (np.bincount(t.text, x, minlength=len(ids)) / n for x in (target, background))
+            columns = [pa.array(ids, pa.int64()), pa.array(t.lengths), pa.array(a), pa.array(b), pa.array(a - b), pa.array((t.lengths > 0) & (a - b <= cut))]
+            yield pa.RecordBatch.from_arrays(columns, names=_names(SCHEMA))
 
     return run
 
@@ -262,13 +268,16 @@ def score(documents: DataFrame, labels: DataFrame, cut: float = 0.0, bundle_byte
     bits, slices = hash_bits(n_bytes), max(LEAST_SLICES, -(-n_bytes // slice_bytes))
     bundles = scratch.save(documents.select("doc_id", "text").mapInArrow(_bundles(bits, bundle_bytes), BUNDLES))
     each = bundles.select("bundle", F.posexplode(F.arrays_zip("ids", "lengths")).alias("i", "x")).select("bundle", "i", F.col("x.ids").alias("doc_id"), F.col("x.lengths").alias("n"))
-    chosen = scratch.save(each.where("doc_id is not null").join(samples.trusted(labels), "doc_id", "left_semi"))
+    chosen = scratch.save(each.where("doc_id is not null").join(samples.trusted(labels).hint("shuffle_hash"), "doc_id", "left_semi"))
     of_all = each.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
     of_trusted = chosen.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
-    marked = bundles.join(chosen.groupBy("bundle").agg(F.collect_list("i").alias("chosen")), "bundle", "left")
-    grams = marked.drop("ids").mapInArrow(_grams(bits, slices), GRAMS)
+    none = documents.sparkSession.createDataFrame([], PARTS)
+    marks = chosen.groupBy("bundle").agg(F.collect_list("i").alias("chosen")).withColumn("slice", F.lit(-1))
+    texts = none.unionByName(bundles.withColumn("slice", F.lit(-2)), allowMissingColumns=True).unionByName(marks, allowMissingColumns=True)
+    gathered = lambda parts: parts.repartition("bundle").sortWithinPartitions("bundle", "slice")
+    grams = gathered(texts).mapInArrow(_grams(bits, slices), GRAMS)
     sums = scratch.save(grams.repartition("slice").sortWithinPartitions("slice", "bundle").mapInArrow(_sums, TOTALS))
     words = sums.where("bundle is null").agg(F.sum("words")).first()[0] or 0
     model = Sizes((of_all[0], of_trusted[0]), (of_all[1], of_trusted[1]), int(words))
-    parts = marked.withColumn("slice", F.lit(-1)).unionByName(sums.where("bundle is not null"), allowMissingColumns=True)
-    return parts.repartition("bundle").sortWithinPartitions("bundle", "slice").mapInArrow(_scores(model, bits, cut), SCHEMA)
+    parts = texts.unionByName(sums.where("bundle is not null"), allowMissingColumns=True)
+    return gathered(parts).mapInArrow(_scores(model, bits, cut), SCHEMA)
