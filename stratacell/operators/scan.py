@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from ..plans.model import DEFAULT_ROW_CAP, CellFilter, RowFilter, TableSchema
@@ -84,20 +84,18 @@ def nearest_key(log: DataFrame, at_least: str) -> DataFrame:
 def nearest_keys(log: DataFrame, probes: DataFrame) -> DataFrame:
     """(probe, row_key): for each probe the least live key not below it, null beyond the last.
 
-    One sort of keys and probes together; the next key is carried back to each probe, partition by
-    partition of a range split, so that no pairs are formed.
+    One sort of keys and probes together, from the last to the first: a running value carries the last key
+    seen to each probe, in one pass over a partition of a range split. A table of one line for each partition
+    carries keys on to the partitions before, so no pairs are formed.
     """
     live = latest(log).select(F.col("row_key").alias("k")).distinct()
     both = live.select("k", F.lit(1).alias("is_key")).unionByName(probes.select(F.col("probe").alias("k"), F.lit(0).alias("is_key")).distinct())
-    parts = both.repartitionByRange("k").withColumn("part", F.spark_partition_id())
-    firsts = parts.where("is_key = 1").groupBy("part").agg(F.min("k").alias("first"))
-    from pyspark.sql import Window
-
-    # One line for each partition that has keys: the first key of all later ones.
-    seen = parts.select("part").distinct().join(firsts, "part", "left")
-    later = seen.select("part", F.min("first").over(Window.orderBy("part").rowsBetween(1, Window.unboundedFollowing)).alias("later"))
-    w = Window.partitionBy("part").orderBy("k", "is_key").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    found = parts.withColumn("next", F.min(F.when(F.col("is_key") == 1, F.col("k"))).over(w)).where("is_key = 0")
+    parts = both.repartitionByRange("k").withColumn("part", F.spark_partition_id()).withColumn("key", F.when(F.col("is_key") == 1, F.col("k")))
+    # Both uses read the same columns, so that they share one shuffle and with it the bounds of the partitions.
+    firsts = parts.groupBy("part").agg(F.min("key").alias("first"))
+    later = firsts.select("part", F.min("first").over(Window.orderBy("part").rowsBetween(1, Window.unboundedFollowing)).alias("later"))
+    w = Window.partitionBy("part").orderBy(F.col("k").desc(), F.col("is_key").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = parts.withColumn("next", F.last("key", ignorenulls=True).over(w)).where("is_key = 0")
     return found.join(later, "part", "left").select(F.col("k").alias("probe"), F.coalesce("next", "later").alias("row_key"))
 
 

@@ -8,11 +8,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import decimal_key, padded, terms
+from ..session import saved
 
 # Constants of the term weight.
 LENGTH_SHARE, DAMPING, FLOOR = 0.75, 2.0, 0.1
 #: Postings kept for each term, by weight.
 POSTINGS = 100_001
+#: Rows of one term are spread over so many tasks.
+SPREAD = 64
 
 
 def corpus_totals(docs: DataFrame) -> DataFrame:
@@ -26,13 +29,21 @@ def document_frequency(docs: DataFrame, tokenise: Callable[[Column], Column] = t
     return docs.select(F.explode(F.array_distinct(tokenise(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
 
-def term_weights(docs: DataFrame, tokenise: Callable[[Column], Column] = terms) -> DataFrame:
-    """(term, doc_id, tf, df, weight). Texts are tokenised once; df is a sum over the same shuffle as the
-    join on terms, and the totals are one row that goes to every task."""
+def term_frequencies(docs: DataFrame, tokenise: Callable[[Column], Column] = terms) -> DataFrame:
+    """(term, doc_id, n, tf): how often a document of n bytes holds each of its terms."""
     full = docs.where("text is not null and text != ''")
-    tf = full.select("doc_id", F.octet_length("text").alias("n"), F.explode(tokenise(F.col("text"))).alias("term")).groupBy("term", "doc_id", "n").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    both = tf.join(df, "term").join(F.broadcast(corpus_totals(docs)))
+    tokens = full.select("doc_id", F.octet_length("text").alias("n"), F.explode(tokenise(F.col("text"))).alias("term"))
+    return tokens.groupBy("term", "doc_id", "n").agg(F.count("*").alias("tf"))
+
+
+def term_weights(docs: DataFrame, tokenise: Callable[[Column], Column] = terms) -> DataFrame:
+    """(term, doc_id, tf, df, weight). Texts are tokenised once, into a table in the work folder. A term's
+    documents are counted and joined in SPREAD groups, so that no task meets all documents of a common
+    term. The totals are one row that goes to every task."""
+    tf = saved(term_frequencies(docs, tokenise), "term-frequencies").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SPREAD)))
+    part = tf.groupBy("term", "salt").agg(F.count("*").alias("c"))
+    df = part.groupBy("term").agg(F.sum("c").alias("df"))
+    both = tf.join(part.select("term", "salt").join(df, "term"), ["term", "salt"]).join(F.broadcast(corpus_totals(docs)))
     return both.select("term", "doc_id", "tf", "df", weight().alias("weight"))
 
 
@@ -48,9 +59,12 @@ def weight() -> Column:
 
 def postings(weights: DataFrame, cap: int = POSTINGS) -> DataFrame:
     """(term, rank, cell_key, doc_id, df, tf, weight): each term's documents by descending weight. The
-    cell key sorts the same way: one less the weight, and the document."""
-    w = Window.partitionBy("term").orderBy(F.col("weight").desc(), "doc_id")
-    ranked = weights.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= cap)
+    cell key sorts the same way: one less the weight, and the document. The best of SPREAD groups of a
+    term are ranked first, so the last task of a term sees at most SPREAD times ``cap`` of them."""
+    order = F.col("weight").desc(), F.col("doc_id")
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SPREAD))
+    best = weights.withColumn("salt", salt).withColumn("rank", F.row_number().over(Window.partitionBy("term", "salt").orderBy(*order))).where(F.col("rank") <= cap)
+    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("term").orderBy(*order))).where(F.col("rank") <= cap)
     return ranked.select("term", "rank", F.concat(decimal_key(1 - F.col("weight")), padded(F.col("doc_id"))).alias("cell_key"), "doc_id", "df", "tf", "weight")
 
 

@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -23,7 +23,7 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def work_folder(spark: SparkSession, what: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``, which all machines share.
+    """A new folder below ``spark.checkpoint.dir``, which all machines share; it goes when the session ends.
 
     Only where the setting is absent, as in local tests, a temporary folder of the driver serves.
     """
@@ -32,4 +32,16 @@ def work_folder(spark: SparkSession, what: str) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         root = "file://" + tempfile.mkdtemp(prefix="stratacell-")
-    return f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex[:12]}"
+    folder = f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex[:12]}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(at)
+    fs.deleteOnExit(at)
+    return folder
+
+
+def saved(df: DataFrame, what: str) -> DataFrame:
+    """df, written to a work folder and read again: it is computed once, and needs no executor that made it."""
+    path = f"{work_folder(df.sparkSession, what)}/table"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
