@@ -34,6 +34,13 @@ def mark_cell(log: DataFrame, ts: Column, seq: Column, row_key: str, column: str
     return records(one, F.lit(row_key), column, F.lit(cell_key), F.lit(None).cast(kind), ts, seq, F.lit(True))
 
 
+def require_columns(log: DataFrame, schema: TableSchema) -> DataFrame:
+    """The records, failing where one is of a column that the table does not have."""
+    shown = F.coalesce(F.col("column_name"), F.lit("null"))
+    fault = F.raise_error(F.concat(F.lit("Invalid columnName ["), shown, F.lit("]"))).cast("boolean")
+    return log.where(F.when(F.col("column_name").isin(*schema.columns), F.lit(True)).otherwise(fault))
+
+
 def drop_column(log: DataFrame, column: str) -> DataFrame:
     return log.where(F.col("column_name") != column)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from dataclasses import asdict, replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,12 +21,18 @@ class Catalog:
         return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
     def _write(self, name: str, text: str) -> None:
+        """Replaces a file as a whole: readers see the old one or the new one."""
         path, fs = self._path(name)
-        out = fs.create(path, True)
+        fresh, _ = self._path(f"{name}.{uuid.uuid4().hex[:8]}")
+        out = fs.create(fresh, True)
         try:
             out.write(bytearray(text.encode()))
         finally:
             out.close()
+        fs_of = self.spark._jvm.org.apache.hadoop.fs
+        overwrite = self.spark.sparkContext._gateway.new_array(fs_of.Options.Rename, 1)
+        overwrite[0] = fs_of.Options.Rename.OVERWRITE
+        fs_of.FileContext.getFileContext(path.toUri(), self.spark._jsc.hadoopConfiguration()).rename(fresh, path, overwrite)
 
     def _read(self, name: str) -> str | None:
         path, fs = self._path(name)
@@ -38,7 +45,7 @@ class Catalog:
             stream.close()
 
     def log_path(self, name: str) -> str:
-        return f"{self.root}/{name}/log"
+        return f"{self.root}/{name}/{self.describe(name).folder}"
 
     def create(self, schema: TableSchema) -> None:
         if self.exists(schema.name):

@@ -30,6 +30,8 @@ class TableSchema:
     permissions: tuple[tuple[str, str], ...] = ()
     bounds: tuple[str, ...] = ()
     kinds: tuple[tuple[str, str], ...] = ()
+    #: The folder of the table's records; a rewritten log is a new one.
+    folder: str = "log"
 
     def __post_init__(self):
         if not NAME.fullmatch(self.name) or self.name in RESERVED:

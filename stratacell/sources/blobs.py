@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A blob file is rewritten once this share of its bytes is dead.
@@ -14,6 +14,21 @@ def read_blobs(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", F.lit(0).cast("long").alias("offset"), "length", "content")
 
 
+def packed(cells: DataFrame, name: str, value: str, per_file: int) -> tuple[DataFrame, DataFrame]:
+    """(pointers, files) of large values: files (path, content) hold about ``per_file`` values each, one behind
+    the other, and pointers (the other columns, path, offset, length) say where. Rows are dealt by the hash of
+    ``name``, so files need no common count; a null value has no bytes."""
+    n = F.greatest(F.ceil(cells.select(F.count("*").alias("n")).first().n / F.lit(per_file)), F.lit(1))
+    content = F.coalesce(F.col(value).cast("binary"), F.lit(b""))
+    dealt = cells.withColumn("path", F.concat(F.lit("blob-"), F.pmod(F.xxhash64(name), n).cast("string"))).withColumn("_content", content)
+    own = Window.partitionBy("path").orderBy(name)
+    placed = dealt.withColumn("length", F.octet_length("_content").cast("long"))
+    placed = placed.withColumn("offset", F.sum("length").over(own.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("length"))
+    joined = F.transform(F.array_sort(F.collect_list(F.struct("offset", "length", "_content"))), lambda x: F.hex(x["_content"]))
+    files = placed.groupBy("path").agg(F.unhex(F.array_join(joined, "")).alias("content"))
+    return placed.drop("_content", value), files
+
+
 def slices(pointers: DataFrame, files: DataFrame) -> DataFrame:
     """Adds the bytes that each pointer (path, offset, length) stands for, null without its file."""
     whole = files.select("path", F.col("content").alias("_content"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.write import records
@@ -35,15 +35,34 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 _CSV = {"quote": '"', "escape": '"', "quoteAll": True, "nullValue": "\\N", "emptyValue": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
 
+def _one_line(c: str) -> Column:
+    """Text with its line breaks written as \\n and \\r, and backslashes doubled."""
+    out = F.replace(F.col(c), F.lit("\\"), F.lit("\\\\"))
+    return F.replace(F.replace(out, F.lit("\n"), F.lit("\\n")), F.lit("\r"), F.lit("\\r")).alias(c)
+
+
+def _many_lines(c: str) -> Column:
+    """The reverse of ``_one_line``."""
+    parts = F.split(F.col(c), r"\\\\", -1)
+    plain = F.transform(parts, lambda x: F.replace(F.replace(x, F.lit("\\n"), F.lit("\n")), F.lit("\\r"), F.lit("\r")))
+    return F.array_join(plain, "\\").alias(c)
+
+
+_TEXTS = ("row_key", "column_name", "cell_key", "value")
+
+
 def backup_csv(log: DataFrame, path: str) -> None:
-    """All versions, a quoted line each; nulls are kept apart from empty values, quotes are doubled."""
+    """All versions, a quoted line each; nulls are kept apart from empty values, quotes are doubled, and line
+    breaks escaped, so that a backup can be read in splits."""
+    log = log.select(*(_one_line(c) if c in _TEXTS else c for c in log.columns))
     log.select(F.col("row_key").alias("rowkey"), F.col("column_name").alias("column"), F.col("cell_key").alias("cellkey"), "value", F.col("ts").alias("timestamp"), "deleted", "seq").write.options(**_CSV, header=True).csv(path)
 
 
 def restore_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Records of a backup. Lines that start with # are comments; values may hold line breaks."""
-    df = spark.read.options(**_CSV, header=True, comment="#", multiLine=True).schema(BACKUP + ", seq long").csv(path)
-    return df.select(F.col("rowkey").alias("row_key"), F.col("column").alias("column_name"), F.coalesce("cellkey", F.lit("")).alias("cell_key"), "value", F.col("timestamp").alias("ts"), "deleted", "seq")
+    """Records of a backup. Lines that start with # are comments."""
+    df = spark.read.options(**_CSV, header=True, comment="#").schema(BACKUP + ", seq long").csv(path)
+    out = df.select(F.col("rowkey").alias("row_key"), F.col("column").alias("column_name"), F.coalesce("cellkey", F.lit("")).alias("cell_key"), "value", F.col("timestamp").alias("ts"), "deleted", "seq")
+    return out.select(*(_many_lines(c) if c in _TEXTS else c for c in out.columns))
 
 
 def restore_triples(lines: DataFrame, delimiter: str = ",") -> DataFrame:

@@ -6,6 +6,7 @@ import itertools
 import time
 import uuid
 from collections.abc import Callable, Iterator
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +27,7 @@ class Store:
         self._attached: dict[str, tuple[TableSchema, DataFrame]] = {}
         self._step = itertools.count()
         self._buffers: dict[str, list[tuple]] = {}
+        self.charset = "UTF-8"
 
     # Definitions
 
@@ -50,8 +52,7 @@ class Store:
         """All records; reading a column family prunes the others' folders."""
         if name in self._attached:
             return self._attached[name][1]
-        self.schema(name)
-        path, fs = self.catalog._path(name, "log")
+        path, fs = self.catalog._path(name, self.schema(name).folder)
         if not fs.exists(path):
             return self.spark.createDataFrame([], LOG_SCHEMA)
         stored = "row_key string, cell_key string, value string, ts long, deleted boolean, seq long, column_name string"
@@ -67,9 +68,7 @@ class Store:
         schema = self.schema(name)
         if name in self._attached:
             raise ValueError(f"table is attached for reading [{name}]")
-        known = F.col("column_name").isin(*schema.columns)
-        checked = records.select(*LOG_COLUMNS).where(F.when(known, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("Invalid columnName ["), F.col("column_name"), F.lit("]"))).cast("boolean")))
-        checked.write.mode("append").partitionBy("column_name").parquet(self.catalog.log_path(name))
+        write.require_columns(records.select(*LOG_COLUMNS), schema).write.mode("append").partitionBy("column_name").parquet(self.catalog.log_path(name))
 
     def put(self, name: str, row_key: str, cells: dict[str, list[tuple]], flush: bool = True) -> None:
         """One row: {column: [(cell_key, value[, ts]), ...]}. Without ts the clock's milliseconds. With
@@ -95,14 +94,12 @@ class Store:
         if cell_key:
             self.append(name, write.mark_cell(self.log(name), ts, seq, row_key, column, cell_key))
         else:
-            self.append(name, self._settled(write.tombstones(self.log(name), ts, seq, row_key, column)))
+            self.append(name, write.tombstones(self.log(name), ts, seq, row_key, column))
 
     def remove_row(self, name: str, row_key: str, ts: int | None = None) -> None:
-        self.append(name, self._settled(write.tombstones(self.log(name), F.lit(self.clock() if ts is None else ts), F.lit(self.next_seq()), row_key)))
-
-    def _settled(self, marks: DataFrame) -> DataFrame:
-        """One row's delete markers, apart from the files that they will join."""
-        return self.spark.createDataFrame(marks.collect(), LOG_SCHEMA)
+        """Delete markers for all live cells of a row, written as a job of their own. It reads the files that the
+        log had when it was planned, so its own do not disturb it."""
+        self.append(name, write.tombstones(self.log(name), F.lit(self.clock() if ts is None else ts), F.lit(self.next_seq()), row_key))
 
     def load(self, name: str, records: DataFrame, sorted_input: bool = False) -> None:
         """Bulk load. Sorted input is checked and written as it lies, other input is range-sorted. A failed
@@ -110,24 +107,29 @@ class Store:
         self.append(name, write.require_sorted(records) if sorted_input else write.sorted_load(records))
 
     def _replace(self, name: str, log: DataFrame) -> None:
-        """Writes a new log beside the old one and swaps the folders."""
-        fresh = f"{name}/log-{uuid.uuid4().hex[:8]}"
-        log.write.partitionBy("column_name").parquet(f"{self.catalog.root}/{fresh}")
-        (old, fs), (new, _) = self.catalog._path(name, "log"), self.catalog._path(*fresh.split("/"))
+        """Writes a new log beside the old one and points the definition to it; a stop at any moment leaves the
+        table with one of the two. Records appended meanwhile stay in the old log, so writers must wait."""
+        schema = self.schema(name)
+        fresh = replace(schema, folder=f"log-{uuid.uuid4().hex[:8]}")
+        log.write.partitionBy("column_name").parquet(f"{self.catalog.root}/{name}/{fresh.folder}")
+        self.catalog.save(fresh)
+        old, fs = self.catalog._path(name, schema.folder)
         fs.delete(old, True)
-        fs.rename(new, old)
 
     def compact(self, name: str, purge_deleted: bool = False) -> None:
         self._replace(name, write.sorted_load(write.compact(self.log(name), self.schema(name), purge_deleted)))
 
-    def truncate(self, name: str) -> None:
-        self.schema(name)
-        path, fs = self.catalog._path(name, "log")
+    def truncate(self, name: str, clear_ranges: bool = False) -> None:
+        schema = self.schema(name)
+        path, fs = self.catalog._path(name, schema.folder)
         fs.delete(path, True)
+        if clear_ranges:
+            self.catalog.save(replace(schema, bounds=()))
 
     def truncate_column(self, name: str, column: str) -> None:
-        self.schema(name).check([column])
-        path, fs = self.catalog._path(name, "log", f"column_name={column}")
+        schema = self.schema(name)
+        schema.check([column])
+        path, fs = self.catalog._path(name, schema.folder, f"column_name={column}")
         fs.delete(path, True)
 
     # Reads
@@ -176,8 +178,6 @@ class Store:
         return next(r for r in self.ranges(name) if (r[0] is None or row_key > r[0]) and (r[1] is None or row_key <= r[1]))
 
     def add_range(self, name: str, bound: str) -> None:
-        from dataclasses import replace
-
         schema = self.schema(name)
         self.catalog.save(replace(schema, bounds=tuple(sorted({*schema.bounds, bound}))))
 
@@ -186,9 +186,11 @@ class Store:
         log = self.log(name).withColumn("file", F.input_file_name())
         return log.groupBy("column_name").agg(F.countDistinct("file").alias("files"), F.count("*").alias("records"), F.coalesce(F.sum(F.octet_length("value")), F.lit(0)).alias("value_bytes"))
 
-    def sql(self, text: str, charset: str = "UTF-8"):
+    def sql(self, text: str, charset: str | None = None):
+        """Executes a statement. ``charset``: of binary values, from this statement on."""
         from .plans.cql import execute
 
+        self.charset = charset or self.charset
         return execute(self, text)
 
     @staticmethod

@@ -7,28 +7,28 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.resolve import CELL
+from ..operators.write import require_columns
+from ..plans.model import LOG_COLUMNS
 
 
 def ingest(store, name: str, records: DataFrame, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
     """Appends a stream of records to a table.
 
-    Batches that are done are marked, so that one repeated after a failure is passed over; one that failed
+    A record of a column that the table does not have fails the stream. Batches that are done are marked, so that one repeated after a failure is passed over; one that failed
     between its files and its mark adds the same versions again, which resolution counts once. Late
     records need no watermark, for resolution does not depend on order.
     """
-    schema = store.schema(name)
-    path = store.catalog.log_path(name)
 
     def write(batch: DataFrame, number: int) -> None:
-        known = batch.where(F.col("column_name").isin(*schema.columns))
-        spark = batch.sparkSession
-        done = f"{path}/_batches/{number}"
+        spark, schema = batch.sparkSession, store.schema(name)
+        done = f"{store.catalog.root}/{name}/_batches/{number}"
         jvm = spark._jvm
         mark = jvm.org.apache.hadoop.fs.Path(done)
         fs = mark.getFileSystem(spark._jsc.hadoopConfiguration())
         if fs.exists(mark):
             return
-        known.write.mode("append").partitionBy("column_name").parquet(path)
+        known = require_columns(batch.select(*LOG_COLUMNS), schema)
+        known.write.mode("append").partitionBy("column_name").parquet(store.catalog.log_path(name))
         fs.create(mark, True).close()
 
     return records.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
