@@ -266,6 +266,11 @@ STATEMENTS = [
     "SELECT c1 FROM t_a WHERE rowkey BETWEEN 'a' AND 'b' AND c1.timestamp BETWEEN '20240101' AND '20240102'",
     "SELECT c1 FROM t_a WHERE c1 >= 'it''s'",
     "INSERT INTO t_a (c1, c2) VALUES (('k', 'v'), ('', 'x')) WHERE rowkey = 'r'",
+    "SELECT sum(c1), sum(c2.key) FROM t_a WHERE rowkey = 'k'",
+    "SELECT c1, c2 FROM t_a INTO t_b (o1, o2) WHERE rowkey LIKE 'pref%'",
+    "SELECT * FROM t_a INTO 'hdfs:///folder'",
+    "SELECT c1 FROM t_a WHERE rowkey IN (SELECT top(c9, 5) FROM t_b WHERE rowkey = 'java') AND c1 = 'x'",
+    "TRUNCATE TABLE t_a Y", "SET CHARSET utf-8", "SET CHARSET euc-kr",
     "DELETE c1 FROM t_a WHERE rowkey = 'r' AND c1 = 'k'",
     "DELETE * FROM t_a WHERE rowkey = 'r'",
     "CREATE TABLE t_a (c1, c2) VERSION = 5 COMMENT = 'note'",
@@ -310,7 +315,21 @@ def test_query_language_end_to_end(store):
     assert run("SHOW USERS").rows.count() == 1
     run("DELETE USER someone")
     assert run("SHOW USERS").rows.count() == 0
-    run("TRUNCATE TABLE t_q")
+    found = run("SELECT c1 FROM t_q WHERE rowkey BETWEEN 'row0' AND 'row9'")
+    assert found.message == "2 selected." and run("SELECT * FROM t_q").message == "selected."
+    run("CREATE TABLE t_out (o1, o2)")
+    run("INSERT INTO t_out (o2) VALUES (('row2', '1.5')) WHERE rowkey = 'links'")
+    run("INSERT INTO t_out (o2) VALUES (('row0', '2')) WHERE rowkey = 'links'")
+    assert {r.row_key for r in run("SELECT c1 FROM t_q WHERE rowkey IN (SELECT top(o2, 1) FROM t_out WHERE rowkey = 'links')").rows.collect()} == {"row0"}
+    assert run("SELECT sum(o2), sum(o2.key) FROM t_out WHERE rowkey = 'links'").rows.collect() == [("links", 3.5, None)]
+    run("SELECT c1, c2 FROM t_q INTO t_out (o1, o2) WHERE rowkey LIKE 'row2%'")
+    assert {(r.row_key, r.o1_key, r.o2_key) for r in run("SELECT * FROM t_out WHERE rowkey = 'row2'").rows.collect()} == {("row2", "ck1_2", "ck2_2")}
+    assert run("SET CHARSET euc-kr").message == "changed charset to euc-kr" and store.charset == "euc-kr"
+    store.add_range("t_q", "m")
+    run("TRUNCATE TABLE t_q N")
+    assert len(store.ranges("t_q")) == 2
+    run("TRUNCATE TABLE t_q Y")
+    assert store.ranges("t_q") == [(None, None)]
     assert run("SELECT * FROM t_q").rows.count() == 0
     run("DROP TABLE t_q")
     assert not store.catalog.exists("t_q")
