@@ -13,7 +13,7 @@ from .plans import cql, jobs
 from .plans.model import CellFilter, CellPage, RowFilter
 from .session import prepare, work_folder
 from .sources import blobs, encoders, files
-from .store import Store
+from .store import Store, cast_value
 from .streaming.ingest import ingest, latest_view
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -400,10 +400,10 @@ def tree_children(spark, d):
     return blobs.children(rows, "/BUILDING")
 
 
-@query("""WITH b AS (SELECT p_brand AS path, sum(p_size) AS bytes, sum(CASE WHEN p_retailprice > 1400 THEN p_size ELSE 0 END) AS dead FROM part GROUP BY 1)
+@query("""WITH b AS (SELECT p_brand AS path, sum(p_size) AS bytes, sum(CASE WHEN p_size > 25 THEN p_size ELSE 0 END) AS dead FROM part GROUP BY 1)
 SELECT path, CAST(bytes AS BIGINT) AS bytes, CAST(dead AS BIGINT) AS dead_bytes, dead / CAST(bytes AS DOUBLE) AS dead_share FROM b WHERE dead / CAST(bytes AS DOUBLE) >= 0.3""")
 def blob_garbage(spark, d):
-    return blobs.garbage(_t(spark, d, "part").select(F.col("p_brand").alias("path"), F.col("p_size").cast("long").alias("length"), (F.col("p_retailprice") > 1400).alias("deleted")))
+    return blobs.garbage(_t(spark, d, "part").select(F.col("p_brand").alias("path"), F.col("p_size").cast("long").alias("length"), (F.col("p_size") > 25).alias("deleted")))
 
 
 @query(f"WITH {_EVENTS} SELECT row_key, round(sum(value), 6) AS total FROM ver WHERE version = 1 GROUP BY 1 HAVING sum(value) > 100")
@@ -457,6 +457,292 @@ def streaming_latest(spark, d):
 @query(f"WITH {_EVENTS} SELECT row_key, cell_key, value, ts FROM ev")
 def backup_and_restore(spark, d):
     """A backup as text and the records restored from it."""
-    path = work_folder(spark, "backup")
+    path = work_folder(spark, "backup") + "/files"
     files.backup_csv(_events(spark, d).withColumn("value", F.col("value").cast("string")), path)
     return _flat(files.restore_csv(spark, path)).withColumn("value", F.col("value").cast("double"))
+
+
+# Reads of chosen columns and rows, in pages and in order
+
+
+_CELLS = f"WITH {_CUSTOMERS} SELECT row_key, column_name, cell_key, value FROM cells WHERE "
+
+
+def _cells(cells: DataFrame) -> DataFrame:
+    return cells.select("row_key", "column_name", "cell_key", "value")
+
+
+@query(_CELLS + "row_key = '0000000007' AND column_name = 'attr'")
+def get_columns(spark, d):
+    return _cells(scan.get(_customers(spark, d), encoders.CUSTOMERS, "0000000007", "attr"))
+
+
+@query(_CELLS + "row_key = '0000000007' AND (column_name = 'attr' AND cell_key BETWEEN 'c_m' AND 'c_nb' OR column_name = 'order' AND cell_key > '0000005000')")
+def get_row_filter(spark, d):
+    """One row by a filter with a rule for each of two families, through a store."""
+    store = Store(spark, "attached")
+    store.attach(encoders.CUSTOMERS, _customers(spark, d))
+    rows = store.get_row("t_customers", RowFilter((CellFilter("attr", start="c_m", end="c_nb"), CellFilter("order", page=CellPage(1000, "0000005000"))), key="0000000007"))
+    each = [rows.select("row_key", F.lit(c).alias("column_name"), F.explode(c).alias("x")) for c in ("attr", "order")]
+    return each[0].unionByName(each[1]).select("row_key", "column_name", F.col("x.cell_key").alias("cell_key"), F.element_at("x.values", 1)["value"].alias("value"))
+
+
+@query(f"WITH {_EVENTS} SELECT row_key, row_number() OVER (ORDER BY row_key) - 1 AS place, count(*) AS n_cells FROM ver WHERE version = 1 GROUP BY 1")
+def row_iterator(spark, d):
+    """All rows from an iterator that fetches pages of 20."""
+    rows = scan.iterate(_events(spark, d), encoders.EVENTS, RowFilter.of("ev", page_size=20))
+    found = [(r.row_key, i, len(r.ev)) for i, r in enumerate(rows)]
+    return spark.createDataFrame(found, "row_key string, place long, n_cells long")
+
+
+@query(f"WITH {_ORDERS}, p AS (SELECT *, row_number() OVER (ORDER BY cell_key) - 1 AS n FROM o WHERE row_key = '0000000007') SELECT n // 4 AS page, cell_key, value FROM p")
+def cell_page_cursor(spark, d):
+    """One row's cells, a page of four at a time, each from the cursor of the page before."""
+    store = Store(spark, "attached")
+    store.attach(encoders.ORDERS, encoders.orders(_t(spark, d, "orders")))
+    found, after, page = [], None, 0
+    while True:
+        rows, after = store.page_of_cells("t_orders", "0000000007", "order", 4, after)
+        found += [(page, r.cell_key, r.value) for r in rows]
+        if after is None:
+            return spark.createDataFrame(found, "page long, cell_key string, value double")
+        page += 1
+
+
+@query(f"WITH {_CUSTOMERS} SELECT row_number() OVER (ORDER BY row_key, column_name = 'attr', cell_key) - 1 AS place, row_key, column_name, cell_key FROM cells ORDER BY 1 LIMIT 500")
+def ordered_scan(spark, d):
+    """The first 500 cells in scan order: by row, then by the columns as asked for, then by cell key."""
+    cells = scan.scan(_customers(spark, d), encoders.CUSTOMERS, RowFilter.of("order", "attr"))
+    first = scan.ordered_cells(cells, ("order", "attr")).limit(500)
+    return first.withColumn("place", F.monotonically_increasing_id()).select("place", "row_key", "column_name", "cell_key")
+
+
+@query(f"WITH {_CUSTOMERS} SELECT row_key, count(*) AS n_cells, row_number() OVER (ORDER BY row_key) - 1 AS place FROM cells GROUP BY 1 ORDER BY 1 LIMIT 100")
+def ordered_row_view(spark, d):
+    rows = scan.ordered_rows(scan.scan(_customers(spark, d), encoders.CUSTOMERS), encoders.CUSTOMERS.columns).limit(100)
+    n = lambda c: F.coalesce(F.array_size(c), F.lit(0))
+    return rows.withColumn("place", F.monotonically_increasing_id()).select("row_key", (n("attr") + n("order")).cast("long").alias("n_cells"), "place")
+
+
+@query(f"WITH {_EVENTS}, few AS (SELECT DISTINCT row_key FROM ver WHERE starts_with(row_key, '00000000') ORDER BY 1 LIMIT 17) SELECT row_key, cell_key, value, ts FROM ver JOIN few USING (row_key) WHERE version = 1")
+def row_cap(spark, d):
+    """A prefix read with a cap on rows that binds."""
+    return _flat(scan.gets(_events(spark, d), encoders.EVENTS, RowFilter.of("ev", prefix="00000000", page_size=17)))
+
+
+@query(f"WITH {_TERMS}, r AS (SELECT *, row_number() OVER (PARTITION BY term ORDER BY weight DESC, doc_id) AS rank FROM w) SELECT term, rank, doc_id, weight FROM r WHERE rank <= 7")
+def capped_postings(spark, d):
+    """Postings with a cap that binds."""
+    return jobs.postings(_weights(spark, d), cap=7).select("term", F.col("rank").cast("long").alias("rank"), "doc_id", "weight")
+
+
+# Tables that are written, changed and read
+
+
+def _store(spark, what: str) -> Store:
+    """A store in a folder of its own whose clock ticks by one."""
+    ticks = iter(range(1000, 10**9))
+    return Store(spark, f"{work_folder(prepare(spark), what)}/tables", clock=lambda: next(ticks))
+
+
+def _as_text(log: DataFrame) -> DataFrame:
+    return log.withColumn("value", F.col("value").cast("string"))
+
+
+@query("SELECT lpad(CAST(n_nationkey AS VARCHAR), 10, '0') AS row_key, k AS column_name, CASE k WHEN 'name' THEN '' ELSE lpad(CAST(n_regionkey AS VARCHAR), 10, '0') END AS cell_key, CASE k WHEN 'name' THEN n_name END AS value FROM nation, (SELECT unnest(['name', 'region']) AS k) WHERE n_nationkey <> 3 AND NOT (n_nationkey = 5 AND k = 'region')")
+def put_flush_remove(spark, d):
+    """Rows put into a buffer and flushed at once; then a row and a cell are removed."""
+    store = _store(spark, "put")
+    store.create("t_nation", "name", "region")
+    for r in _t(spark, d, "nation").orderBy("n_nationkey").limit(1000).collect():
+        store.put("t_nation", f"{r.n_nationkey:010d}", {"name": [("", r.n_name)], "region": [(f"{r.n_regionkey:010d}", None)]}, flush=False)
+    store.flush("t_nation")
+    store.remove_row("t_nation", "0000000003")
+    store.remove("t_nation", "0000000005", "region")
+    return _cells(store.cells("t_nation"))
+
+
+@query(f"WITH {_EVENTS} SELECT row_key, cell_key, value, ts FROM ver WHERE version = 1")
+def out_of_order_load(spark, d):
+    """The later half of the records is loaded before the earlier half."""
+    store, log = _store(spark, "late"), _as_text(_events(spark, d))
+    store.create("t_events", "ev")
+    for half in ("ts >= 1705276800000000", "ts < 1705276800000000"):
+        store.load("t_events", log.where(half))
+    return _flat(store.cells("t_events")).withColumn("value", F.col("value").cast("double"))
+
+
+@query(f"WITH {_RETAINED} SELECT row_key, cell_key, value, ts FROM kept WHERE version <= 2")
+def compacted_table(spark, d):
+    """A stored table after its log was rewritten with the retained versions."""
+    store = _store(spark, "compact")
+    store.create("t_events", "ev")
+    store.load("t_events", _as_text(_events(spark, d)))
+    store.compact("t_events")
+    return _flat(store.cells("t_events", RowFilter((CellFilter("ev", versions=2),)))).withColumn("value", F.col("value").cast("double"))
+
+
+@query("SELECT lpad(CAST(r_regionkey AS VARCHAR), 10, '0') AS row_key, CAST(0 AS BIGINT) AS cell_idx, 'name' AS name_key, CASE r_regionkey WHEN 1 THEN 'changed' ELSE r_name END AS name_value, CASE WHEN r_regionkey <> 2 THEN 'k' END AS kind_key, CASE WHEN r_regionkey <> 2 THEN 'region' END AS kind_value FROM region WHERE r_regionkey <> 4")
+def cql_table_life(spark, d):
+    """CREATE, INSERT, DELETE of a cell and of a row, and SELECT, all as statements."""
+    store = _store(spark, "cql")
+    store.sql("CREATE TABLE t_region (name, kind) VERSION = 2 COMMENT = 'regions'")
+    for r in _t(spark, d, "region").limit(100).collect():
+        store.sql(f"INSERT INTO t_region (name, kind) VALUES (('name', '{r.r_name}'), ('k', 'region')) WHERE rowkey = '{r.r_regionkey:010d}'")
+    store.sql("INSERT INTO t_region (name) VALUES (('name', 'changed')) WHERE rowkey = '0000000001'")
+    store.sql("DELETE kind FROM t_region WHERE rowkey = '0000000002' AND kind = 'k'")
+    store.sql("DELETE * FROM t_region WHERE rowkey = '0000000004'")
+    return store.sql("SELECT * FROM t_region").rows.drop("name_ts", "kind_ts").withColumn("cell_idx", F.col("cell_idx").cast("long"))
+
+
+def _loaded(spark, d, what: str) -> Store:
+    store = _store(spark, what)
+    store.create("t_customers", "attr", "order", num_versions=0, bounds=("0000000500", "0000001000"))
+    store.load("t_customers", _customers(spark, d))
+    return store
+
+
+@query(f"WITH {_CUSTOMERS} SELECT column_name, cell_key, value, row_key FROM cells WHERE column_name = 'attr' AND row_key <= '0000000100' UNION ALL SELECT 'note', 'n', 'new', '0000000001'")
+def changed_columns(spark, d):
+    """One family is emptied, another is added and written to."""
+    store = _loaded(spark, d, "columns")
+    store.sql("TRUNCATE COLUMN order FROM t_customers")
+    store.add_column("t_customers", "note")
+    store.put("t_customers", "0000000001", {"note": [("n", "new")]})
+    return _cells(store.cells("t_customers", RowFilter.of("attr", "order", "note", end="0000000100")))
+
+
+@query("SELECT 't_customers' AS name, CAST(0 AS INTEGER) AS version, 'attr' AS column_name UNION ALL SELECT 't_customers', 0, 'order' UNION ALL SELECT 't_other', 5, 'x1'")
+def show_and_describe(spark, d):
+    """SHOW TABLES and DESC of what is left after a DROP."""
+    store = _store(spark, "show")
+    store.create("t_customers", "attr", "order", num_versions=0)
+    store.sql("CREATE TABLE t_other (x1) VERSION = 5")
+    store.sql("CREATE TABLE t_gone (x1)")
+    store.sql("DROP TABLE t_gone")
+    tables = store.sql("SHOW TABLES").rows.select("name", "version")
+    columns = [store.sql(f"DESC {r.name}").rows.select(F.col("table_name").alias("name"), "column_name") for r in tables.collect()]
+    return tables.join(columns[0].unionByName(columns[1]), "name")
+
+
+@query(f"WITH {_CUSTOMERS} SELECT column_name, count(*) AS records, CAST(sum(strlen(value)) AS BIGINT) AS value_bytes FROM cells GROUP BY 1")
+def report_table(spark, d):
+    return _loaded(spark, d, "report").sql("REPORT TABLE t_customers").rows.select("column_name", "records", "value_bytes")
+
+
+@query("""WITH p AS (SELECT lpad(CAST(c_custkey AS VARCHAR), 10, '0') AS row_key FROM customer)
+SELECT row_key, CASE WHEN row_key > '0000001000' THEN '0000001000' WHEN row_key > '0000000500' THEN '0000000500' END AS low, CASE WHEN row_key <= '0000000500' THEN '0000000500' WHEN row_key <= '0000001000' THEN '0000001000' END AS high FROM p""")
+def range_of_key(spark, d):
+    """Each key with the range of the table that holds it."""
+    store = _store(spark, "ranges")
+    store.create("t_customers", "attr", bounds=("0000000500",))
+    store.add_range("t_customers", "0000001000")
+    ranges = spark.createDataFrame(store.ranges("t_customers"), "low string, high string")
+    keys = _t(spark, d, "customer").select(padded(F.col("c_custkey")).alias("row_key"))
+    inside = (F.col("low").isNull() | (F.col("row_key") > F.col("low"))) & (F.col("high").isNull() | (F.col("row_key") <= F.col("high")))
+    return keys.join(F.broadcast(ranges), inside)
+
+
+@query("SELECT 'repeated version' AS fault, count(*) AS n FROM customer WHERE c_custkey % 10 = 0 UNION ALL SELECT 'null key', count(*) FROM supplier WHERE s_suppkey % 4 = 0 UNION ALL SELECT 'value of a delete marker', count(*) FROM region")
+def faults_of_a_log(spark, d):
+    """What a check of a log finds where versions were stored twice, keys are null and markers have values."""
+    good = _as_text(encoders.customers(_t(spark, d, "customer"), _t(spark, d, "orders").limit(0)))
+    twice = good.where("cell_key = 'c_name' and cast(row_key as long) % 10 = 0")
+    null = _as_text(encoders.suppliers(_t(spark, d, "supplier").where("s_suppkey % 4 = 0"))).withColumn("row_key", F.lit(None).cast("string"))
+    null = null.withColumn("ts", F.monotonically_increasing_id())
+    region = _t(spark, d, "region")
+    marks = write.records(region, F.col("r_name"), "name", F.lit(""), F.col("r_name"), F.lit(0), F.lit(0), F.lit(True))
+    return write.faults(good.unionByName(twice).unionByName(null).unionByName(marks))
+
+
+@query("SELECT lpad(CAST(c_custkey AS VARCHAR), 10, '0') AS row_key, 'o_name' AS column_name, 'c_name' AS cell_key, c_name AS value FROM customer WHERE c_custkey BETWEEN 100 AND 199")
+def cql_select_into(spark, d):
+    """A SELECT whose cells go into another table, under another column's name."""
+    store = _loaded(spark, d, "into")
+    store.sql("CREATE TABLE t_names (o_name)")
+    store.sql("SELECT BATCH attr FROM t_customers INTO t_names (o_name) WHERE rowkey LIKE '00000001%' AND attr = 'c_name'")
+    return _cells(store.cells("t_names"))
+
+
+@query(f"""WITH {_CUSTOMERS}, top AS (SELECT lpad(CAST(s_suppkey AS VARCHAR), 10, '0') AS k FROM supplier WHERE s_nationkey = (SELECT min(s_nationkey) FROM supplier) ORDER BY 1 LIMIT 2)
+SELECT row_key, cell_key AS attr_key, value AS attr_value FROM cells WHERE column_name = 'attr' AND row_key IN (SELECT k FROM top)""")
+def cql_select_in_top(spark, d):
+    """Rows whose keys are the first cell keys of a row of another table."""
+    store = Store(spark, "attached")
+    store.attach(encoders.CUSTOMERS, _customers(spark, d))
+    suppliers = encoders.suppliers(_t(spark, d, "supplier"))
+    store.attach(encoders.SUPPLIERS, suppliers)
+    key = suppliers.agg(F.min("row_key")).first()[0]
+    return store.sql(f"SELECT attr FROM t_customers WHERE rowkey IN (SELECT top(supplier, 2) FROM t_suppliers WHERE rowkey = '{key}')").rows.select("row_key", "attr_key", "attr_value")
+
+
+@query(f"WITH {_EVENTS} SELECT row_key, round(sum(value), 6) AS total FROM ver WHERE version = 1 AND row_key BETWEEN '0000000010' AND '0000000020' GROUP BY 1")
+def cql_select_sum(spark, d):
+    store = Store(spark, "attached")
+    store.attach(encoders.EVENTS, _events(spark, d))
+    return store.sql("SELECT sum(ev) FROM t_events WHERE rowkey BETWEEN '0000000010' AND '0000000020'").rows.select("row_key", F.round("sum_ev", 6).alias("total"))
+
+
+# Values, files and matrices
+
+
+@query("SELECT url AS row_key, html AS value FROM pages")
+def blob_write_and_slice(spark, d):
+    """Large values packed into files, and read again by their pointers."""
+    folder = work_folder(prepare(spark), "blobs")
+    pages = _t(spark, d, "pages").select(F.col("url").alias("row_key"), "html")
+    pointers, packed = blobs.packed(pages, "row_key", "html", 40)
+    pointers.write.parquet(f"{folder}/pointers")
+    packed.write.parquet(f"{folder}/files")
+    found = blobs.slices(spark.read.parquet(f"{folder}/pointers"), spark.read.parquet(f"{folder}/files"))
+    return found.select("row_key", F.decode("content", "UTF-8").alias("value"))
+
+
+@query("SELECT '/' || CASE WHEN c_mktsegment = 'BUILDING' THEN '4_/old/b' ELSE '3_/' || c_mktsegment END || '/' || c_nationkey || '/' || c_custkey AS row_key FROM customer WHERE c_mktsegment = 'BUILDING'")
+def tree_moved(spark, d):
+    """The entries of a folder and of all below it, under their new keys."""
+    path = F.concat_ws("/", F.lit(""), "c_mktsegment", F.col("c_nationkey").cast("string"), F.col("c_custkey").cast("string"))
+    rows = _t(spark, d, "customer").select(blobs.tree_key(path).alias("row_key"))
+    return blobs.moved(rows, "/BUILDING", "/old/b")
+
+
+@query("SELECT '/2_/' || c_mktsegment || '/' || c_custkey AS row_key FROM customer WHERE c_mktsegment = 'MACHINERY' UNION ALL SELECT '/1_/MACHINERY'")
+def tree_subtree(spark, d):
+    rows = _t(spark, d, "customer").select(blobs.tree_key(F.concat_ws("/", F.lit(""), "c_mktsegment", F.col("c_custkey").cast("string"))).alias("row_key"))
+    folders = _t(spark, d, "customer").select(blobs.tree_key(F.concat(F.lit("/"), "c_mktsegment")).alias("row_key")).distinct()
+    return blobs.subtree(rows.unionByName(folders), "/MACHINERY")
+
+
+@query(f"WITH {_MATRIX} SELECT CAST(vec_id AS VARCHAR) || ',' || CAST(c AS VARCHAR) AS row_key, v AS value FROM m")
+def dense_matrix(spark, d):
+    return jobs.dense_cells(encoders.matrix(_t(spark, d, "embeddings"), "vec_id", "embedding"))
+
+
+@query("""WITH r AS (SELECT DISTINCT lpad(CAST(user_id AS VARCHAR), 10, '0') AS row_key, event_type AS item FROM events),
+c AS (SELECT a.event_type AS item, b.event_type AS other, round(abs(avg(a.value) - avg(b.value)), 6) AS similarity FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_type <> b.event_type WHERE a.user_id < 5 GROUP BY 1, 2)
+SELECT row_key, other AS item, round(sum(similarity), 6) AS score FROM r JOIN c USING (item) GROUP BY 1, 2""")
+def similar_items(spark, d):
+    """For each user the summed similarity of further event types to those they have."""
+    e = _t(spark, d, "events").where("user_id < 5").select("user_id", "event_type", "value")
+    other = e.select("user_id", F.col("event_type").alias("col"), F.col("value").alias("v"))
+    both = e.join(other, "user_id").where("event_type != col").groupBy(F.col("event_type").alias("row"), "col")
+    similarity = both.agg(F.round(F.abs(F.avg("value") - F.avg("v")), 6).alias("similarity"))
+    ratings = scan.scan(_events(spark, d), encoders.EVENTS).select("row_key", "cell_key")
+    return jobs.similar_items(ratings, similarity).withColumn("score", F.round("score", 6))
+
+
+@query("SELECT lpad(CAST(c_custkey AS VARCHAR), 10, '0') AS row_key, CAST(CASE WHEN k = 'c_nationkey' THEN c_nationkey END AS INTEGER) AS number, CASE WHEN k = 'c_mktsegment' THEN c_mktsegment END AS segment FROM customer, (SELECT unnest(['c_nationkey', 'c_mktsegment']) AS k)")
+def typed_values(spark, d):
+    """Values read as numbers, and as text from the bytes of another character set."""
+    cells = scan.scan(_customers(spark, d), encoders.CUSTOMERS, RowFilter((CellFilter("attr"),))).where("cell_key in ('c_nationkey', 'c_mktsegment')")
+    coded = Store.decoded(cells.withColumn("value", F.encode("value", "UTF-16")), "UTF-16")
+    number = cast_value("int", lenient=True)("value")
+    return coded.select("row_key", number.alias("number"), F.when(F.col("cell_key") == "c_mktsegment", F.col("value")).alias("segment"))
+
+
+@query("SELECT lpad(CAST(c_custkey AS VARCHAR), 10, '0') AS row_key, c_name AS value, n_name AS nation FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey")
+def scalar_lookup(spark, d):
+    """Each customer's name with that of the nation whose row key a cell holds."""
+    customers = _t(spark, d, "customer").select(padded(F.col("c_custkey")).alias("customer"), F.col("c_name").alias("value"), padded(F.col("c_nationkey")).alias("nation_key"))
+    nations = write.records(_t(spark, d, "nation"), padded(F.col("n_nationkey")), "name", F.lit(""), F.col("n_name"), F.lit(0), F.lit(0))
+    return join.lookup(customers, resolve.latest(nations), "nation_key", {"name": "nation"}).select(F.col("customer").alias("row_key"), "value", "nation")
