@@ -46,11 +46,6 @@ class TableSchema:
             if n not in self.columns:
                 raise ValueError(f"Invalid columnName [{n}]")
 
-    def may(self, user: str, mode: str) -> bool:
-        """Whether the permission list grants mode 'r' or 'w'; the owner may do all."""
-        granted = dict(self.permissions)
-        return user == self.owner or mode in granted.get(user, "") or mode in granted.get("*", "")
-
 
 @dataclass(frozen=True)
 class CellPage:

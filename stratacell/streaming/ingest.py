@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -14,14 +16,16 @@ from ..plans.model import LOG_COLUMNS
 def ingest(store, name: str, records: DataFrame, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
     """Appends a stream of records to a table.
 
-    A record of a column that the table does not have fails the stream. Batches that are done are marked, so that one repeated after a failure is passed over; one that failed
+    A record of a column that the table does not have fails the stream. Batches that are done are marked, for each
+    checkpoint apart, so that one repeated after a failure is passed over; one that failed
     between its files and its mark adds the same versions again, which resolution counts once. Late
     records need no watermark, for resolution does not depend on order.
     """
+    stream = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
 
     def write(batch: DataFrame, number: int) -> None:
         spark, schema = batch.sparkSession, store.schema(name)
-        done = f"{store.catalog.root}/{name}/_batches/{number}"
+        done = f"{store.catalog.root}/{name}/_batches/{stream}/{number}"
         jvm = spark._jvm
         mark = jvm.org.apache.hadoop.fs.Path(done)
         fs = mark.getFileSystem(spark._jsc.hadoopConfiguration())

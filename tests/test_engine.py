@@ -10,6 +10,7 @@ from stratacell.plans import cql
 from stratacell.plans.model import CellFilter, CellPage, RowFilter, TableSchema
 from stratacell.sources import blobs, files
 from stratacell.store import LOG_SCHEMA, Store, cast_value
+from stratacell.streaming.ingest import ingest
 
 SCHEMA = TableSchema("T_TEST", ("Col1", "Col2"))
 
@@ -219,6 +220,31 @@ def test_backup_round_trip(store, spark, tmp_path):
     assert [(r.value, r.ts, r.deleted) for r in files.restore_triples(lines).orderBy("ts").collect()] == [("v1", 1, False), ("v2", 2, True)]
 
 
+def test_streams_refuse_unknown_columns(store, spark, tmp_path):
+    store.create("t_s", "a")
+    rows = [("r1", "a", "", "x", 1, False, 1), ("r2", "b", "", "y", 1, False, 2)]
+    for name, own in (("good", rows[:1]), ("more", [("r3", "a", "", "z", 1, False, 3)]), ("bad", rows), ("null", [(*rows[0][:1], None, *rows[0][2:])])):
+        spark.createDataFrame(own, LOG_SCHEMA).write.parquet(f"file://{tmp_path}/{name}")
+        stream = spark.readStream.schema(LOG_SCHEMA).parquet(f"file://{tmp_path}/{name}")
+        running = ingest(store, "t_s", stream, f"file://{tmp_path}/state-{name}")
+        if name in ("good", "more"):
+            running.awaitTermination()
+            store.compact("t_s")
+        else:
+            with pytest.raises(Exception, match="Invalid columnName"):
+                running.awaitTermination()
+    assert sorted(r.row_key for r in store.cells("t_s").collect()) == ["r1", "r3"]
+
+
+def test_a_definition_is_replaced_as_a_whole(store):
+    store.create("t_d", "a")
+    store.put("t_d", "r", {"a": [("", "v")]})
+    before = store.schema("t_d").folder
+    store.compact("t_d")
+    assert store.schema("t_d").folder != before and store.get_value("t_d", "r", "a") == "v"
+    assert store.catalog.names() == ["t_d"]
+
+
 def test_upload(spark):
     lines = spark.createDataFrame([("r1|a|x|b",), ("",), ("|no row",), ("r2|c",)], "value string")
     out = files.delimited(lines, ["c1", "c2"], [0, 1, 3], "|", key_value=True)
