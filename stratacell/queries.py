@@ -442,16 +442,16 @@ def streaming_ingest(spark, d):
 
 @query(f"WITH {_EVENTS} SELECT row_key, cell_key, value, ts FROM ver WHERE version = 1")
 def streaming_latest(spark, d):
-    """A stateful stream that keeps each cell's newest version."""
+    """A stateful stream that keeps each cell's newest version; a batch writes the cells that it changed."""
     root = work_folder(spark, "latest")
-    last = {}
 
     def write_batch(batch, number):
-        last["path"] = f"{root}/view/{number}"
-        batch.write.parquet(last["path"])
+        batch.write.mode("overwrite").parquet(f"{root}/view/batch={number}")
 
-    latest_view(_stream(spark, d)).writeStream.outputMode("complete").foreachBatch(write_batch).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
-    return _flat(spark.read.parquet(last["path"]).where(~F.col("deleted")))
+    latest_view(_stream(spark, d)).writeStream.outputMode("update").foreachBatch(write_batch).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
+    changes = spark.read.parquet(f"{root}/view")
+    last = changes.groupBy(*resolve.CELL).agg(F.max_by(F.struct("value", "ts", "deleted"), "batch").alias("v")).select(*resolve.CELL, "v.*")
+    return _flat(last.where(~F.col("deleted")))
 
 
 @query(f"WITH {_EVENTS} SELECT row_key, cell_key, value, ts FROM ev")
