@@ -35,6 +35,8 @@ WINDOW = 6
 LANDMARKS = 64
 #: How many times as frequent in toxic texts a landmark from those is.
 MORE = 20.0
+#: The same of what the kernel takes for it, counted in so many texts of each class.
+NEAR, NEAR_TEXTS = 5.0, 500
 #: Letters of a landmark.
 SIZES = (4, 5, 6, 7)
 #: The machine is fitted on at most so many labelled documents of each class, and bytes of them.
@@ -262,7 +264,7 @@ def choose_landmarks(toxic: list[str], clean: list[str]) -> list[str]:
     if it is MORE times as frequent as in clean texts and stands in as many toxic ones as chance does not
     explain: of the runs of as many clean texts that no toxic one holds, not a tenth as many stand in that
     many, up to half as many again. The heaviest comes first, of about as many texts the longest;
-    passed over is one that shares N letters in a row with another, or stands only where one twice as frequent does.
+    passed over is one that does not tell the classes apart once what is like it counts, or shares N letters in a row with another, or stands only where one twice as frequent does.
     """
     toxic, alone = without_copies(toxic), without_copies(clean)
     sample = alone[: len(toxic)]
@@ -298,7 +300,17 @@ def choose_landmarks(toxic: list[str], clean: list[str]) -> list[str]:
         chosen.append(word)
         reached.append(held[i])
         taken |= own
-    return chosen
+    return [w for w in chosen if _tells_apart(w, toxic[:NEAR_TEXTS], alone[:NEAR_TEXTS])]
+
+
+def _tells_apart(word: str, toxic: list[str], clean: list[str]) -> bool:
+    """Whether windows whose kernel value with the run is half its own or more, which the machine will take for it,
+    stand in NEAR times as many toxic texts as clean ones."""
+    own = features_of(word)
+    m = Machine()
+    m.table[list(own)] = np.array(list(own.values())) / _value(own, own)
+    near = [np.concatenate([m.worst(Letters(part)) for part in _chunks(texts)]) >= 0.5 for texts in (toxic, clean)]
+    return (near[0].sum() + 0.5) / (len(toxic) + 1) > NEAR * (near[1].sum() + 0.5) / (len(clean) + 1)
 
 
 def _value(a: dict[int, float], b: dict[int, float]) -> float:
