@@ -29,7 +29,7 @@ from . import textkit as tk
 from .scratch import Scratch
 
 #: Bytes of text of a bundle (a longer one alone), and of corpus for each slice of the vocabulary.
-BUNDLE_BYTES, SLICE_BYTES = 8 << 20, 16 << 20
+BUNDLE_BYTES, SLICE_BYTES = 4 << 20, 8 << 20
 LEAST_SLICES = 16
 #: Pseudo-tokens of each context that follow the unigram, and its share that goes to all words alike.
 PAIR_PRIOR, UNIFORM = 20.0, 0.05
