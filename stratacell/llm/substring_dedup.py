@@ -2,7 +2,7 @@
 
 A gear rolling hash of the last 16 bytes ends a chunk where its top bits are zero and no such place lies
 just before. Both depend on a few bytes alone, so an insertion moves only the chunks that touch it, and
-two copies of a passage are cut alike from some twenty bytes on. Chunks are compared by 128-bit digests
+two copies of a passage are cut alike from some twenty bytes on. Chunks are compared by 96-bit digests
 over the whole corpus: of each digest the smallest (document id, row, position) keeps its copy, and
 neighbouring chunks that are held before join into passages.
 
@@ -69,7 +69,7 @@ def chunk_ends(piece: tk.Piece) -> np.ndarray:
 
 
 _PLACE = "none boolean, doc long, row long, pos int"
-CHUNKS = f"hi long, lo long, {_PLACE}, size int, words int, hnone boolean, hdoc long, hrow long, hpos int"
+CHUNKS = f"hi long, lo int, {_PLACE}, size int, words int, hnone boolean, hdoc long, hrow long, hpos int"
 REPEATS = CHUNKS.split(", ", 2)[2]
 
 
@@ -85,12 +85,12 @@ def _chunks_of(batch: pa.RecordBatch) -> Iterator[tuple[int, dict[str, np.ndarra
         ends = chunk_ends(piece)
         begins = np.append(0, ends[:-1]) if len(ends) else ends
         raw = piece.buf.tobytes()
-        digests = b"".join([hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(begins.tolist(), ends.tolist())])
-        both, own = np.frombuffer(digests, "<i8").reshape(-1, 2), piece.text_of(begins)
+        digests = b"".join([hashlib.blake2b(raw[a:b], digest_size=12).digest() for a, b in zip(begins.tolist(), ends.tolist())])
+        both, own = np.frombuffer(digests, [("hi", "<i8"), ("lo", "<i4")]), piece.text_of(begins)
         starts = piece.words(tk.NON_SPACE)[0]
         words = np.searchsorted(starts, ends) - np.searchsorted(starts, begins)
         at = piece.first + own
-        yield len(raw), {"hi": both[:, 0], "lo": both[:, 1], "none": none[at], "doc": ids[at], "row": rows[at], "pos": begins - piece.offs[own], "size": ends - begins, "words": words}
+        yield len(raw), {"hi": both["hi"], "lo": both["lo"], "none": none[at], "doc": ids[at], "row": rows[at], "pos": begins - piece.offs[own], "size": ends - begins, "words": words}
 
 
 def _settled(parts: list[dict[str, np.ndarray]]) -> pa.RecordBatch:
@@ -103,7 +103,7 @@ def _settled(parts: list[dict[str, np.ndarray]]) -> pa.RecordBatch:
     first = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
     back = np.argsort(order)  # in order of texts, where numbers compress well
     new, first = new[back], first[back]
-    columns = [pa.array(c[k][back], t, mask=m) for k, t, m in (("hi", pa.int64(), ~new), ("lo", pa.int64(), ~new))]
+    columns = [pa.array(c[k][back], t, mask=m) for k, t, m in (("hi", pa.int64(), ~new), ("lo", pa.int32(), ~new))]
     columns += [pa.array(c[k][back], t) for k, t in (("none", pa.bool_()), ("doc", pa.int64()), ("row", pa.int64()), ("pos", pa.int32()), ("size", pa.int32()), ("words", pa.int32()))]
     columns += [pa.array(c[k][first], t, mask=new) for k, t in (("none", pa.bool_()), ("doc", pa.int64()), ("row", pa.int64()), ("pos", pa.int32()))]
     return pa.RecordBatch.from_arrays(columns, names=_names(CHUNKS))
