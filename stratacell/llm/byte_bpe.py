@@ -150,7 +150,7 @@ def encode_documents(documents: DataFrame, path: str, pattern: str) -> DataFrame
                 out = [coder.encode(t or "") for t in texts.to_pylist()]
                 yield pa.RecordBatch.from_arrays([ids, pa.array(out, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
+    return documents.select("doc_id", "text").mapInArrow(tk.trimmed(run), "doc_id long, ids array<int>")
 
 
 def decode_documents(encoded: DataFrame, path: str) -> DataFrame:

@@ -347,4 +347,4 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WIND
             longest = np.array([-shard.best.get(d, (0,))[0] for d in range(batch.num_rows)], np.int64)
             yield batch.filter(pa.array((longest < window) & ~((n_hit > 0) & (20 * n_hit >= n_words))))
 
-    return documents.mapInArrow(run, documents.schema)
+    return documents.mapInArrow(tk.trimmed(run), documents.schema)

@@ -502,4 +502,4 @@ def without_toxic(documents: DataFrame, machine: Machine, threshold: float = THR
             for first, texts in _texts(tk.take(batch, "text")):
                 yield batch.slice(first, len(texts)).filter(pa.array(m.probability(m.worst(Letters(texts))) < threshold))
 
-    return documents.mapInArrow(run, documents.schema)
+    return documents.mapInArrow(tk.trimmed(run), documents.schema)
