@@ -157,3 +157,17 @@ def test_token_files_of_odd_rows(spark, odd, empty):
     assert files.count() > 3
     assert result(token_files.read_files(files)) == expected([(r.doc_id, r.text) for r in odd.collect()], Tokenizer.from_file(WORDS))
     assert token_files.read_files(token_files.token_files(empty, WORDS, scratch)).count() == 0
+
+
+def test_parts_of_words_read_as_in_the_library():
+    own, library = token_files.WordTokenizer(open(WORDS).read()), Tokenizer.from_file(WORDS)
+    rng = random.Random(11)
+    signs = ["'", "'s", "'ll", ".", ",", "$$$", "-", "<", "=", "\u0301", "\u0338", "\u00d7", "\u00f7", "\u00bb", "\u2019", "é", "É", "e\u0301", "\u00dfa", "A", "Z", "word", "Word", "7", "42", "日", "Ω", "\u1100", "\u1161", "\x1f", " "]
+    texts = ["".join(rng.choices(signs, k=rng.randrange(1, 9))) for _ in range(20_000)]
+    assert word_ids(own, texts) == [[*library.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+
+
+def test_signs_beside_words_and_their_case_are_not_remembered_apart():
+    own = token_files.WordTokenizer(open(WORDS).read())
+    word_ids(own, ["été Été ÉTÉ, été. (été) $$$été$$$ word Word. -WORD-"])
+    assert len(own.hashes) <= 10
