@@ -12,13 +12,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import counts, samples
 from . import textkit as tk
+from .scratch import Scratch
 
 BUCKET_BITS = 18
-#: Most labelled documents of each class that the threshold is fitted on.
-THRESHOLD_DOCS = 1500
+#: Parts of 1, and of so many each way, in which the scores of labelled documents are counted for the threshold.
+CELLS, MOST = 1024, 64
 #: Without labelled documents of both classes: the least mean log ratio of a kept document.
 THRESHOLD = -1.0
 #: Pseudo-counts of the target for each bucket, dealt out as the corpus is.
@@ -134,44 +136,73 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def score_without_own(bucket: np.ndarray, target: np.ndarray, raw: np.ndarray) -> float:
     """The mean log ratio of one trusted document's n-grams, its own counts taken off the target."""
-    if not len(bucket):
-        return 0.0
-    values, n = np.unique(bucket, return_counts=True)
+    return float(scores_without_own(bucket, np.zeros(len(bucket), np.int64), 1, target, raw)[0])
+
+
+def scores_without_own(bucket: np.ndarray, owner: np.ndarray, texts: int, target: np.ndarray, raw: np.ndarray) -> np.ndarray:
+    """``score_without_own`` of each of some texts; of one that is not trusted it means nothing."""
+    key, n = np.unique(owner << np.int64(BUCKET_BITS) | bucket, return_counts=True)
+    values, text = key & ((1 << BUCKET_BITS) - 1), key >> np.int64(BUCKET_BITS)
+    size = np.bincount(owner, minlength=texts)
     share, weight = raw[values] / max(1, raw.sum()), SMOOTHING * len(raw)
-    mixed = (target[values] - n + weight * share) / (target.sum() - len(bucket) + weight)
-    return float((n * np.log(mixed / share)).sum() / len(bucket))
+    mixed = (np.maximum(target[values] - n, 0) + weight * share) / (np.maximum(target.sum() - size[text], 0) + weight)
+    return np.bincount(text, n * np.log(mixed / share), minlength=texts) / np.maximum(size, 1)
+
+
+def _judged(documents: DataFrame, labels: DataFrame, model: Model, target: np.ndarray, raw: np.ndarray) -> DataFrame:
+    """(y, value): the label and the score of every labelled document that has a text."""
+    sent = documents.sparkSession.sparkContext.broadcast((model, target, raw))  # 3 * 2**BUCKET_BITS numbers
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, target, raw = sent.value
+        for batch in batches:
+            ids = tk.take(batch, "doc_id")
+            for piece in tk.pieces(tk.take(batch, "text")):
+                words = Words(piece)
+                out = scores(piece, words, m.ratios), scores_without_own(*words.buckets(), piece.n, target, raw)
+                yield pa.RecordBatch.from_arrays([ids.slice(piece.first, piece.n), *map(pa.array, out)], names=["doc_id", "score", "alone"])
+
+    scored = documents.where("doc_id is not null and text is not null").select("doc_id", "text").mapInArrow(run, "doc_id long, score double, alone double")
+    y = labels.select("doc_id", F.col("quality").cast("int").alias("y")).where("doc_id is not null and y in (0, 1)").groupBy("doc_id").agg(F.max("y").alias("y"))
+    return scored.join(y, "doc_id").select("y", F.when(F.col("y") == 1, F.col("alone")).otherwise(F.col("score")).alias("value"))
 
 
 def fit(documents: DataFrame, labels: DataFrame) -> Model:
     """Counts the corpus and the trusted documents (label ``quality`` 1) and fits the threshold.
 
-    The corpus counts cover all rows, the target's every trusted document. The labelled rows of the
-    threshold are bounded by THRESHOLD_DOCS; trusted ones among them are scored without their own counts, as
-    documents that nobody has judged will be.
+    The corpus counts cover all rows, the target's every trusted document, the threshold's every labelled one.
+    Trusted ones are scored without their own counts, as documents that nobody has judged will be. Scores that
+    agree to a part of CELLS are not told apart by the threshold; the driver gets a row for each such part.
     """
-    partial = samples.with_trust(documents, labels).mapInArrow(_count, counts.SCHEMA)
+    scratch = Scratch(documents.sparkSession, "quality-rules")
+    partial = scratch.save(samples.with_trust(documents, labels).mapInArrow(_count, counts.SCHEMA))
     raw, target = counts.gather(partial, 1 << BUCKET_BITS, 2)
-    ratios = log_ratios(target, raw) if target.any() else np.zeros(1 << BUCKET_BITS)
-    texts = samples.labelled_texts(documents, labels, "quality", THRESHOLD_DOCS)
-    value, y = np.zeros(len(texts)), np.array([y for _, y in texts], bool)
-    for piece in tk.pieces(pa.array([t for t, _ in texts], pa.large_string())):
-        words = Words(piece)
-        value[piece.first : piece.first + piece.n] = scores(piece, words, ratios)
-        bucket, owner = words.buckets()
-        for i in np.flatnonzero(y[piece.first : piece.first + piece.n]).tolist():
-            value[piece.first + i] = score_without_own(bucket[owner == i], target, raw)
-    return Model(ratios, best_threshold(value, y) if len(set(y.tolist())) == 2 else THRESHOLD)
+    scratch.drop(partial)
+    model = Model(log_ratios(target, raw) if target.any() else np.zeros(1 << BUCKET_BITS), THRESHOLD)
+    if not target.any():
+        return model
+    cell = F.floor(F.greatest(F.lit(-MOST), F.least(F.lit(MOST), F.col("value"))) * CELLS)
+    sums = _judged(documents, labels, model, target, raw).groupBy(cell.alias("cell")).agg(F.min("value").alias("low"), F.max("value").alias("high"), F.sum("y").alias("good"), F.sum(1 - F.col("y")).alias("bad"))
+    low, high, good, bad = np.array([tuple(x) for x in sums.orderBy("cell").drop("cell").collect()], float).reshape(-1, 4).T
+    if good.sum() and bad.sum():
+        model.threshold = best_cut(low, high, good, bad)
+    return model
 
 
 def best_threshold(value: np.ndarray, good: np.ndarray) -> float:
     """The cut with the highest sum of kept good and rejected bad shares, amid the values beside it."""
     order = np.argsort(value, kind="stable")
     value, good = value[order], good[order]
-    gain = np.append(0, np.cumsum(np.where(good, -1 / good.sum(), 1 / (~good).sum())))
+    return best_cut(value, value, good.astype(float), (~good).astype(float))
+
+
+def best_cut(low: np.ndarray, high: np.ndarray, good: np.ndarray, bad: np.ndarray) -> float:
+    """``best_threshold`` between groups of values, ascending, of which the ends and the numbers are known."""
+    gain = np.append(0, np.cumsum(bad / bad.sum() - good / good.sum()))
     k = int(np.argmax(gain))
-    if k in (0, len(value)):
-        return float(value[0] - 1) if k == 0 else float(value[-1] + 1)
-    return float((value[k - 1] + value[k]) / 2)
+    if k in (0, len(low)):
+        return float(low[0] - 1) if k == 0 else float(high[-1] + 1)
+    return float((high[k - 1] + low[k]) / 2)
 
 
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, score double, kept boolean"

@@ -90,6 +90,27 @@ def test_threshold():
     assert 1.0 < quality_rules.best_threshold(value, np.array([False, False, True, True])) < 2.0
 
 
+def test_threshold_is_fitted_on_every_labelled_document(spark):
+    rng = random.Random(8)
+    docs = [(i, " ".join(rng.choices("abcdefgh" if i % 2 else "efghijkl", k=rng.randrange(5, 30)))) for i in range(4000)]
+    df = spark.createDataFrame([*docs, (None, "a b"), (4000, None)], "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(4001)] + [(7, 0), (None, 1)], "doc_id long, quality int")
+    model = quality_rules.fit(df, labels)
+    raw, target = (np.zeros(1 << quality_rules.BUCKET_BITS, np.int64) for _ in range(2))
+    buckets = []
+    for i, text in [*docs, (None, "a b")]:
+        buckets.append(quality_rules.Words(next(textkit.pieces(pa.array([text], pa.large_string())))).buckets()[0])
+        for counts in (raw, target) if i is not None and i % 2 else (raw,):
+            np.add.at(counts, buckets[-1], 1)
+    values = [quality_rules.score_without_own(b, target, raw) if i % 2 else model.ratios[b].mean() for (i, _), b in zip(docs, buckets)]
+    values, good = np.array(values), np.array([i % 2 == 1 for i, _ in docs])
+    shares = lambda cut: (values[good] >= cut).mean() + (values[~good] < cut).mean()
+    assert shares(model.threshold) >= shares(quality_rules.best_threshold(values, good)) - 0.003
+    cells, back = np.unique(np.floor(values * quality_rules.CELLS), return_inverse=True)
+    low, high = (np.array([f(values[back == k]) for k in range(len(cells))]) for f in (np.min, np.max))
+    assert model.threshold == pytest.approx(quality_rules.best_cut(low, high, np.bincount(back, good), np.bincount(back, ~good)), abs=1e-6)
+
+
 def model_losses(docs, trusted):
     """(tokens, target loss, background loss) of each text, from counts in dictionaries without its own."""
     lower = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})
