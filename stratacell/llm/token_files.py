@@ -153,11 +153,12 @@ class WordTokenizer:
     """The tokenizers library's ids, remembered by word.
 
     The vocabulary's normaliser and pre-tokens never act across white space, so a text's ids are those of
-    its words in a row, and of their parts where ``_parts`` cuts them. Words are known by 64-bit hashes of
-    their bytes, words of ASCII and Latin-1 letters alone with their case folded: before a combining mark the case matters, for marks are composed before letters are lowered
-    and some letters have a composed form in one case only. Unknown words are encoded many in one call,
-    told apart by a mark that is a pre-token of one id. Texts with that mark or what may be a special
-    token go through the library whole.
+    its words in a row, and of their parts where ``_parts`` cuts them. Words are known by 64-bit hashes
+    of their bytes, words of ASCII and Latin-1 letters alone with their case folded: before a combining
+    mark the case matters, for marks are composed before letters are lowered and some letters have a
+    composed form in one case only. Unknown words are encoded many in one call, told apart by a mark that
+    is a pre-token of one id. Texts with that mark or what may be a special token go through the library
+    whole.
     """
 
     _mark = "\x01"
