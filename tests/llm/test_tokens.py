@@ -53,6 +53,53 @@ def test_cache_is_bounded(coder, reference, monkeypatch):
     assert coder.encode(text) == reference.encode_ordinary(text) and len(coder.cache) <= 3
 
 
+def merged_one_by_one(ranks, piece):
+    parts = [piece[i : i + 1] for i in range(len(piece))]
+    while len(parts) > 1 and piece not in ranks:
+        rank, i = min((ranks.get(a + b, 1 << 30), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
+        if rank == 1 << 30:
+            break
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+    return [ranks[piece]] if piece in ranks else [ranks[x] for x in parts]
+
+
+@pytest.mark.parametrize("large", [1, 3, 10**9])
+def test_shared_queue_merges_as_one_by_one(monkeypatch, large):
+    monkeypatch.setattr(byte_bpe, "LARGE", large)
+    rng = random.Random(17)
+    for case in range(60):  # ranks in no order: a merge often brings a lower rank into use
+        tokens = list({"".join(rng.choices("abc", k=rng.randrange(2, 7))) for _ in range(rng.choice([5, 40, 300]))})
+        rng.shuffle(tokens)
+        ranks = {bytes([i]): i for i in range(256)} | {t.encode(): 256 + i for i, t in enumerate(tokens)}
+        own = byte_bpe.ByteBpe(ranks, " ?[a-z]+")
+        words = ["".join(rng.choices("abc", k=rng.choice([1, 4, 9, 30]))) for _ in range(50)] + ["a" * 57, "ab" * 31, "abc" * 20]
+        texts = [" ".join(rng.choices(words, k=9)) for _ in range(12)] + ["", "aaa"]
+        got = list(own.encode_all(texts))
+        assert got == [[x for p in own.find(t) for x in merged_one_by_one(ranks, p.encode())] for t in texts]
+        assert not any(own.words)
+
+
+def test_unknown_pre_tokens_share_a_queue(coder, reference, monkeypatch):
+    pops, pop = [], byte_bpe.heappop
+    monkeypatch.setattr(byte_bpe, "heappop", lambda bucket: pops.append(1) or pop(bucket))
+    rng = random.Random(19)
+    words = {"".join(rng.choices(["an", "th", "er", "in", "ou", "st", "ble", "ing"], k=5)) for _ in range(3000)}
+    text = " ".join(words)
+    coder.cache.clear()
+    assert coder.encode(text) == reference.encode_ordinary(text)
+    assert len(pops) < len(words)
+
+
+def test_one_very_long_text_and_many_short_ones(coder, reference, monkeypatch):
+    monkeypatch.setattr(byte_bpe, "QUEUE_BYTES", 50)
+    monkeypatch.setattr(byte_bpe, "CACHE_CHARS", 100)
+    texts = [noise(s, 40) for s in range(40)] + [noise(7, 4000, "abcdefg"), "ab" * 5000, ""]
+    coder.cache.clear()
+    for _ in range(2):
+        assert list(coder.encode_all(texts)) == [reference.encode_ordinary(t) for t in texts]
+    assert not coder.cache
+
+
 def test_bpe_query(spark, tables, reference):
     texts = {r.doc_id: r.text or "" for r in tables("documents").collect()}
     rows = registry.op3_byte_bpe(spark, SF).collect()
