@@ -14,7 +14,9 @@ symbols uint16 if all fit, else uint32.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from pathlib import Path
@@ -37,23 +39,24 @@ FILE_TOKENS = 1 << 19
 LEAST_COUNT, ROUND_RULES = 8, 4096
 #: Most remembered words of a Python worker.
 CACHE_ENTRIES = 1_500_000
-_BITS = 20
+_BITS = 18
 
 
 def _frequent_pairs(symbols: np.ndarray, closed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The most frequent pairs' codes, ascending, the places where one begins, and which it is."""
+    """The most frequent pairs, ascending, the places where one begins, and which it is."""
     cell = (symbols[:-1] * np.uint32(0x9E3779B1) + symbols[1:]) * np.uint32(0x85EBCA6B) >> np.uint32(32 - _BITS)
     enough = np.bincount(cell, minlength=1 << _BITS) >= LEAST_COUNT
     place = np.flatnonzero(enough[cell] & ~closed[:-1])
-    code = symbols[place].astype(np.int64) << np.int64(32) | symbols[place + 1]
-    values, inverse, counts = np.unique(code, return_inverse=True, return_counts=True)
+    base = tk.U64(int(symbols.max()) + 1)
+    values, _, inverse, counts = tk.grouped(symbols[place].astype(tk.U64) * base + symbols[place + 1])
     often = np.flatnonzero(counts >= LEAST_COUNT)
     if len(often) > ROUND_RULES:
         often = np.sort(often[np.lexsort((values[often], -counts[often]))[:ROUND_RULES]])
     number = np.full(len(values), -1)
     number[often] = np.arange(len(often))
     which = number[inverse]
-    return values[often], place[which >= 0], which[which >= 0]
+    chosen = np.stack([values[often] // base, values[often] % base], axis=1).astype(np.int64)
+    return chosen, place[which >= 0], which[which >= 0]
 
 
 def repair(ids: np.ndarray, ends: np.ndarray, terminals: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -75,9 +78,10 @@ def repair(ids: np.ndarray, ends: np.ndarray, terminals: int) -> tuple[np.ndarra
         first = np.maximum.accumulate(np.where(new, np.arange(len(place)), 0))
         taken = (np.arange(len(place)) - first) % 2 == 0
         place = place[taken]
-        used, number = np.unique(which[taken], return_inverse=True)
+        used = np.bincount(which[taken], minlength=len(chosen)) > 0
+        number = (np.cumsum(used) - 1)[which[taken]]
         base = terminals + len(rules)
-        pairs = np.stack([chosen[used] >> 32, chosen[used] & 0xFFFFFFFF], axis=1)
+        pairs = chosen[used]
         rules = np.concatenate([rules, pairs])
         lengths = np.append(lengths, lengths[pairs[:, 0]] + lengths[pairs[:, 1]])
         symbols[place] = (base + number).astype(np.uint32)
@@ -156,8 +160,9 @@ class WordTokenizer:
     its words in a row, and of their parts where ``_parts`` cuts them. Words are known by 64-bit hashes
     of their bytes, words of ASCII and Latin-1 letters alone with their case folded: before a combining
     mark the case matters, for marks are composed before letters are lowered and some letters have a
-    composed form in one case only. Unknown words are encoded many in one call, told apart by a mark that
-    is a pre-token of one id. Texts with that mark or what may be a special token go through the library
+    composed form in one case only. Unknown words are encoded many in one call. Those of ASCII and Latin-1
+    letters are one pre-token each, so they end where an id ends a pre-token; others are told apart by a
+    mark that is a pre-token of one id. Texts with that mark or what may be a special token go through the library
     whole.
     """
 
@@ -169,6 +174,9 @@ class WordTokenizer:
 
         self.library = Tokenizer.from_str(definition)
         self.terminals = self.library.get_vocab_size(with_added_tokens=True)
+        suffix = json.loads(definition)["model"].get("end_of_word_suffix")
+        self.last = np.zeros(self.terminals, bool)
+        self.last[[i for token, i in self.library.get_vocab().items() if suffix and token.endswith(suffix)]] = True
         (self.mark_id,) = self._ids(self._mark)
         self._forget()
 
@@ -179,22 +187,38 @@ class WordTokenizer:
     def _ids(self, text: str) -> list[int]:
         return self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
+    def _marked(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of these words, none with the mark, and how many each has."""
+        ids = np.array(self._ids(f" {self._mark} ".join([*words, ""])), np.int32)
+        return ids[ids != self.mark_id], np.diff(np.flatnonzero(ids == self.mark_id), prepend=-1) - 1
+
+    def _lettered(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As ``_marked``, of words of letters alone."""
+        ids = np.array(self._ids(" ".join(words)), np.int32)
+        last = np.flatnonzero(self.last[ids])
+        if len(last) != len(words) or last[-1] + 1 != len(ids):  # a vocabulary that ends words in another way
+            return self._marked(words)
+        return ids, np.diff(last, prepend=-1)
+
     def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
         """Adds words, in ascending order of their hashes; one that holds the mark as nothing, for its text goes
         another way."""
         words = ["" if self._mark in w else w for w in words]
-        parts = [self._ids(f" {self._mark} ".join([*words[i : i + 1000], ""])) for i in range(0, len(words), 1000)]
-        ids = np.concatenate([np.array(x, np.int32) for x in parts])
-        marks = np.flatnonzero(ids == self.mark_id)
-        if self.used + len(ids) > len(self.flat):
-            self.flat = np.append(self.flat[: self.used], np.zeros(len(ids) + self.used, np.int32))
-        self.flat[self.used : self.used + len(ids)] = ids
-        begin = np.append(0, marks[:-1] + 1)
+        lettered = np.array([_LETTERS(w) is not None for w in words])
+        begin, length = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        for encode, places in ((self._lettered, np.flatnonzero(lettered)), (self._marked, np.flatnonzero(~lettered))):
+            for i in range(0, len(places), 1000):
+                own = places[i : i + 1000]
+                ids, n = encode([words[j] for j in own.tolist()])
+                if self.used + len(ids) > len(self.flat):
+                    self.flat = np.append(self.flat[: self.used], np.zeros(len(ids) + self.used, np.int32))
+                self.flat[self.used : self.used + len(ids)] = ids
+                begin[own], length[own] = self.used + np.cumsum(n) - n, n
+                self.used += len(ids)
         at = np.searchsorted(self.hashes, hashes)
         self.hashes = np.insert(self.hashes, at, hashes)
-        self.begin = np.insert(self.begin, at, self.used + begin)
-        self.length = np.insert(self.length, at, marks - begin)
-        self.used += len(ids)
+        self.begin = np.insert(self.begin, at, begin)
+        self.length = np.insert(self.length, at, length)
 
     def _places(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = np.searchsorted(self.hashes, hashes)
@@ -204,7 +228,7 @@ class WordTokenizer:
     def encode(self, piece: tk.Piece) -> list[np.ndarray]:
         """The ids of each text of a piece, END_ID last."""
         start, end, text = _parts(piece)
-        hashes, first, inverse = np.unique(piece.span_hash(_folded(piece, start, end).prefix(), start, end), return_index=True, return_inverse=True)
+        hashes, first, inverse, _ = tk.grouped(piece.span_hash(_folded(piece, start, end).prefix(), start, end))
         at, known = self._places(hashes)
         if not known.all():
             if len(self.hashes) + len(hashes) > CACHE_ENTRIES:
@@ -229,6 +253,8 @@ class WordTokenizer:
         return lists
 
 
+#: Words that normalising and lowering leave letters, which are one pre-token.
+_LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+").fullmatch
 #: ASCII letters and digits; signs of ASCII but for the apostrophe, which may begin a pre-token with letters; the
 #: second bytes of letters from U+00C0 to U+00FF.
 _ALNUM = tk.byte_class([(0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A)])

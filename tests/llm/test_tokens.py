@@ -218,3 +218,25 @@ def test_signs_beside_words_and_their_case_are_not_remembered_apart():
     own = token_files.WordTokenizer(open(WORDS).read())
     word_ids(own, ["été Été ÉTÉ, été. (été) $$$été$$$ word Word. -WORD-"])
     assert len(own.hashes) <= 10
+
+
+def test_words_of_letters_go_to_the_library_without_marks(monkeypatch):
+    own, library = token_files.WordTokenizer(open(WORDS).read()), Tokenizer.from_file(WORDS)
+    sent, ids = [], own._ids
+    monkeypatch.setattr(own, "_ids", lambda text: sent.append(text) or ids(text))
+    texts = ["Etwas straße ÉTÉ naïve thinghern", "don't 42 e\u0301 日本 İstanbul ªx", "x", ""]
+    assert word_ids(own, texts) == [[*library.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+    assert not any("straße" in x.lower() and own._mark in x for x in sent) and any(own._mark in x for x in sent)
+    own._forget()
+    own.last[:] = False  # as for a vocabulary without word ends
+    assert word_ids(own, texts) == [[*library.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+
+
+def test_grouping_equals_unique():
+    rng = np.random.default_rng(23)
+    wide = rng.integers(0, 1 << 64, 3000, dtype=np.uint64)
+    near = wide[0] // np.uint64(1 << 20) * np.uint64(1 << 20) + rng.integers(0, 50, 3000).astype(np.uint64)  # told apart by low bits alone
+    for values in (wide, np.append(wide, wide[:700]), near, near % np.uint64(1 << 16), np.zeros(5, np.uint64), wide[:1], wide[:0]):
+        got, first, which, counts = textkit.grouped(values)
+        expected = np.unique(values, return_index=True, return_inverse=True, return_counts=True)
+        assert all((a == b).all() and len(a) == len(b) for a, b in zip((got, first, which, counts), expected))
