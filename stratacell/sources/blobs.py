@@ -17,13 +17,15 @@ def read_blobs(spark: SparkSession, path: str) -> DataFrame:
 def packed(cells: DataFrame, name: str, value: str, per_file: int) -> tuple[DataFrame, DataFrame]:
     """(pointers, files) of large values: files (path, content) hold about ``per_file`` values each, one behind
     the other, and pointers (the other columns, path, offset, length) say where. Rows are dealt by the hash of
-    ``name``, so files need no common count; a null value has no bytes."""
+    ``name``, so files need no common count, and lie by name, size and digest, so that values of one name stand in
+    one order in pointers and files. A null value has no bytes and a null length."""
     n = F.greatest(F.ceil(cells.select(F.count("*").alias("n")).first().n / F.lit(per_file)), F.lit(1))
     content = F.coalesce(F.col(value).cast("binary"), F.lit(b""))
     dealt = cells.withColumn("path", F.concat(F.lit("blob-"), F.pmod(F.xxhash64(name), n).cast("string"))).withColumn("_content", content)
-    own = Window.partitionBy("path").orderBy(name)
-    placed = dealt.withColumn("length", F.octet_length("_content").cast("long"))
-    placed = placed.withColumn("offset", F.sum("length").over(own.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("length"))
+    dealt = dealt.withColumn("_size", F.octet_length("_content").cast("long")).withColumn("_digest", F.md5("_content"))
+    dealt = dealt.withColumn("length", F.when(F.col(value).isNotNull(), F.col("_size")))
+    own = Window.partitionBy("path").orderBy(name, "_size", "_digest")
+    placed = dealt.withColumn("offset", F.sum("_size").over(own.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_size")).drop("_size", "_digest")
     joined = F.transform(F.array_sort(F.collect_list(F.struct("offset", "length", "_content"))), lambda x: F.hex(x["_content"]))
     files = placed.groupBy("path").agg(F.unhex(F.array_join(joined, "")).alias("content"))
     return placed.drop("_content", value), files
