@@ -11,8 +11,6 @@ from pyspark.sql import Column
 NAME = re.compile(r"[_a-zA-Z][a-zA-Z0-9_]+")
 RESERVED = frozenset({"ROOT", "META"})
 DEFAULT_VERSIONS = 3
-#: Rows that a multi-row read returns where no page size is given.
-DEFAULT_ROW_CAP = 5000
 #: Least bytes of a prefix in query-language LIKE.
 LEAST_PREFIX = 4
 LOG_COLUMNS = ("row_key", "column_name", "cell_key", "value", "ts", "deleted", "seq")

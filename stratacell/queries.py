@@ -489,7 +489,7 @@ def get_row_filter(spark, d):
 
 @query(f"WITH {_EVENTS} SELECT row_key, row_number() OVER (ORDER BY row_key) - 1 AS place, count(*) AS n_cells FROM ver WHERE version = 1 GROUP BY 1")
 def row_iterator(spark, d):
-    """All rows from an iterator that fetches pages of 20."""
+    """All rows from an iterator, in key order."""
     rows = scan.iterate(_events(spark, d), encoders.EVENTS, RowFilter.of("ev", page_size=20))
     found = [(r.row_key, i, len(r.ev)) for i, r in enumerate(rows)]
     return spark.createDataFrame(found, "row_key string, place long, n_cells long")

@@ -29,3 +29,18 @@ def test_a_select_returns_all_rows(spark):
     assert cql.execute(store, text, ticks_per_ms=1000).rows.count() == 5200
     assert cql.execute(store, text, ticks_per_ms=1000, row_cap=5000).rows.count() == 5000
     assert scan.gets(log, encoders.EVENTS, RowFilter.of("ev", prefix="0000")).count() == 5200
+
+
+def test_an_iterator_reads_its_log_once(spark):
+    """However many pages its rows make, each record is read in one or two passes: for the bounds and the sort."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def noted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    log = spark.range(200).select(F.lpad(F.col("id").cast("string"), 10, "0").alias("row_key"), F.lit("ev").alias("column_name"), F.lit("click").alias("cell_key"), F.lit(1.0).alias("value"), F.lit(0).cast("long").alias("ts"), F.lit(False).alias("deleted"), F.lit(0).cast("long").alias("seq"))
+    rows = scan.iterate(log.mapInArrow(noted, log.schema), encoders.EVENTS, RowFilter.of("ev", page_size=20, start=f"{50:010d}"))
+    assert [r.row_key for r in rows] == [f"{i:010d}" for i in range(50, 200)]
+    assert seen.value <= 400
