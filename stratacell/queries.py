@@ -310,8 +310,13 @@ w AS (SELECT term, doc_id, tf, df, round((tf * 0.9::DOUBLE / (tf + (0.75::DOUBLE
   * (ln((doc_count - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) / ln((doc_count - 1 + 0.5::DOUBLE) / (1 + 0.5::DOUBLE))), 10) AS weight FROM tf JOIN df USING (term), tot)"""
 
 
+def _weight_parts(spark, d):
+    return [w.withColumn("weight", F.round("weight", 10)) for w in jobs.weight_parts(_t(spark, d, "documents"))]
+
+
 def _weights(spark, d):
-    return jobs.term_weights(_t(spark, d, "documents")).withColumn("weight", F.round("weight", 10))
+    common, others = _weight_parts(spark, d)
+    return common.unionByName(others)
 
 
 @query("SELECT CAST(sum(strlen(text)) AS BIGINT) AS doc_length, count(*) AS doc_count FROM documents WHERE text <> ''")
@@ -336,7 +341,8 @@ def term_weights(spark, d):
 
 @query(f"WITH {_TERMS} SELECT term, row_number() OVER (PARTITION BY term ORDER BY weight DESC, doc_id) AS rank, doc_id, df, tf, weight FROM w")
 def term_postings(spark, d):
-    return jobs.postings(_weights(spark, d)).select("term", F.col("rank").cast("long").alias("rank"), "doc_id", "df", "tf", "weight")
+    common, others = _weight_parts(spark, d)
+    return jobs.postings(common, others=others).select("term", F.col("rank").cast("long").alias("rank"), "doc_id", "df", "tf", "weight")
 
 
 @query(f"WITH {_TERMS} SELECT 'with' AS term, doc_id, df, weight, source FROM w JOIN documents USING (doc_id) WHERE term = 'with' ORDER BY weight DESC, doc_id LIMIT 10")
@@ -533,7 +539,8 @@ def row_cap(spark, d):
 @query(f"WITH {_TERMS}, r AS (SELECT *, row_number() OVER (PARTITION BY term ORDER BY weight DESC, doc_id) AS rank FROM w) SELECT term, rank, doc_id, weight FROM r WHERE rank <= 7")
 def capped_postings(spark, d):
     """Postings with a cap that binds."""
-    return jobs.postings(_weights(spark, d), cap=7).select("term", F.col("rank").cast("long").alias("rank"), "doc_id", "weight")
+    common, others = _weight_parts(spark, d)
+    return jobs.postings(common, cap=7, others=others).select("term", F.col("rank").cast("long").alias("rank"), "doc_id", "weight")
 
 
 # Tables that are written, changed and read
